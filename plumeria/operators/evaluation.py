@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.discount import discount, discount_prefix, discount_total
+from plumeria.operators.topk import user_lists
+from plumeria.session import cut_lineage
 
 RANKING = ["roc_auc_score", "accuracy", "precision_score", "recall", "f1_score", "hit_ratio_k", "ndcg_k"]
 
@@ -57,22 +59,22 @@ def daily_counts(truth: DataFrame, topk: DataFrame, catalogue: DataFrame, k: int
 
     Only users with a list and items of the catalogue count.
     """
-    listed = topk.where("rank = 1").select("user_id", F.col("list_size").alias("t"))
     size = catalogue.agg(F.countDistinct("video_id").alias("n")).scalar()
     relevant = (
         truth.select("dt", "user_id", "video_id")
         .distinct()
         .join(catalogue.select("video_id").distinct(), "video_id", "left_semi")
-        .join(listed, "user_id")
+        .join(user_lists(topk), "user_id")
     )
-    found = relevant.join(topk.select("user_id", "video_id", "rank"), ["user_id", "video_id"], "left")
+    place = F.array_position("videos", F.col("video_id"))
     return (
-        found.groupBy("dt", "user_id")
+        relevant.select("dt", "user_id", F.size("videos").alias("t"), place.alias("rank"))
+        .groupBy("dt", "user_id")
         .agg(
             F.count("*").alias("p"),
             F.max("t").alias("t"),
-            F.count("rank").alias("tp"),
-            F.max(F.when(F.col("rank") <= k, 1).otherwise(0)).alias("hit"),
+            F.count(F.when(F.col("rank") > 0, 1)).alias("tp"),
+            F.max(F.when(F.col("rank").between(1, k), 1).otherwise(0)).alias("hit"),
         )
         .withColumn("n", size)
     )
@@ -139,8 +141,11 @@ def positives_above(histogram: DataFrame, by: Sequence[str] = (), buckets: int =
 
 
 def rank_auc(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC of continuous scores by the rank sum; null when one class is missing."""
-    ranked = positives_above(histogram, by)
+    """ROC AUC of continuous scores by the rank sum; null when one class is missing.
+
+    The histogram is read several times, so it is written once first.
+    """
+    ranked = positives_above(cut_lineage(histogram), by)
     pairs = F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2))
     p, n = F.sum("pos"), F.sum("neg")
     return ranked.groupBy(*by).agg(

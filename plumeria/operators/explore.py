@@ -55,7 +55,7 @@ def boxplot(df: DataFrame, value: str) -> DataFrame:
     """
     per_value = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
     quartiles = per_value.agg(
-        F.percentile("x", [0.25, 0.5, 0.75], "n").alias("q"), F.min("x").alias("low"), F.max("x").alias("high")
+        F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q"), F.min("x").alias("low"), F.max("x").alias("high")
     ).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.select(F.struct((F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")).alias("f"))

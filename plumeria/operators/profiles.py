@@ -6,7 +6,7 @@ data-dependent schema; a category that has no row has weight zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.similarity import ratio
@@ -32,15 +32,14 @@ def video_categories(video: DataFrame, season: DataFrame, split: Column | None =
     )
 
 
-def vote_balance(votes: DataFrame, categories: DataFrame) -> DataFrame:
-    """(user_id, category, weight): up-votes minus all other votes."""
+def signed_votes(votes: DataFrame, categories: DataFrame) -> DataFrame:
+    """(user_id, category, value): +1 per up-vote and -1 per other vote on a categorised video."""
     signed = F.when(F.col("status") == "UPVOTE", 1).otherwise(-1)
     return (
         votes.select("video_id", F.col("voter_id").alias("user_id"), signed.alias("value"))
         .join(categories, "video_id")
         .where(F.col("category").isNotNull())
-        .groupBy("user_id", "category")
-        .agg(F.sum("value").cast("bigint").alias("weight"))
+        .select("user_id", "category", "value")
     )
 
 
@@ -54,17 +53,22 @@ def user_category_profile(
     """Declared interest plus vote balance, for users who voted.
 
     Categories are limited to those someone declared. ``votes_until`` keeps later
-    votes out of the profile; ``None`` uses them all.
+    votes out of the profile; ``None`` uses them all. Votes are read once: whether
+    a user voted is settled on the aggregated rows.
     """
     declared = declared_interest(interest, split)
     known = votes if votes_until is None else train_until(votes, "created_at", votes_until)
-    balance = vote_balance(known, categories)
-    voters = balance.select("user_id").distinct()
-    own = declared.join(voters, "user_id", "left_semi").withColumn("weight", F.lit(1).cast("bigint"))
-    voted = balance.join(declared.select("category").distinct(), "category", "left_semi")
-    return (
-        own.unionByName(voted).groupBy("user_id", "category").agg(F.sum("weight").cast("bigint").alias("weight"))
+    parts = (
+        signed_votes(known, categories)
+        .withColumn("voted", F.lit(True))
+        .unionByName(declared.select("user_id", "category", F.lit(1).alias("value"), F.lit(False).alias("voted")))
+    )
+    sums = parts.groupBy("user_id", "category").agg(
+        F.sum("value").cast("bigint").alias("weight"), F.max("voted").alias("voted")
     )
+    voters = sums.withColumn("voted", F.max("voted").over(Window.partitionBy("user_id"))).where("voted")
+    vocabulary = declared.select("category").distinct()
+    return voters.join(vocabulary, "category", "left_semi").select("user_id", "category", "weight")
 
 
 def watch_ratio(feed: DataFrame, categories: DataFrame) -> DataFrame:
@@ -86,15 +90,14 @@ def watch_weighted_profile(
     profile_weight: float = 0.7,
 ) -> DataFrame:
     """Profile and watch ratio blended 0.7 / 0.3 for the users of the profile."""
-    watched = (
-        watch_ratio(feed, categories)
-        .join(profile.select("user_id").distinct(), "user_id", "left_semi")
-        .join(vocabulary, "category", "left_semi")
+    watched = watch_ratio(feed, categories).join(vocabulary, "category", "left_semi")
+    own, seen = profile_weight * F.col("weight"), (1 - profile_weight) * F.col("ratio")
+    parts = profile.select("user_id", "category", own.alias("part"), F.lit(True).alias("known")).unionByName(
+        watched.select("user_id", "category", seen.alias("part"), F.lit(False).alias("known"))
     )
-    parts = profile.select("user_id", "category", (profile_weight * F.col("weight")).alias("weight")).unionByName(
-        watched.select("user_id", "category", ((1 - profile_weight) * F.col("ratio")).alias("weight"))
-    )
-    return parts.groupBy("user_id", "category").agg(F.sum("weight").alias("weight"))
+    sums = parts.groupBy("user_id", "category").agg(F.sum("part").alias("weight"), F.max("known").alias("known"))
+    kept = sums.withColumn("known", F.max("known").over(Window.partitionBy("user_id"))).where("known")
+    return kept.select("user_id", "category", "weight")
 
 
 def recent_upvotes(votes: DataFrame, split: Column, days: int = 28) -> DataFrame:
@@ -117,18 +120,18 @@ def recency_profile(
     """0.4 x interest + 0.6 x recent up-votes per category, users with a positive total."""
     members = users.select(F.col("id").alias("user_id"))
     declared = declared_interest(interest, split).join(members, "user_id", "left_semi")
-    voted = (
-        upvotes.join(categories, "video_id")
-        .where(F.col("category").isNotNull())
-        .groupBy("user_id", "category")
-        .agg(F.sum("upvotes").alias("n"))
-    )
-    parts = declared.withColumn("weight", F.lit(interest_weight)).unionByName(
-        voted.select("user_id", "category", ((1 - interest_weight) * F.col("n")).alias("weight"))
+    voted = upvotes.join(categories, "video_id").where(F.col("category").isNotNull())
+    parts = declared.select("user_id", "category", F.lit(1).cast("bigint").alias("own"), _none("n")).unionByName(
+        voted.select("user_id", "category", _none("own"), F.col("upvotes").alias("n"))
     )
-    profile = parts.groupBy("user_id", "category").agg(F.sum("weight").alias("weight"))
-    positive = profile.groupBy("user_id").agg(F.sum("weight").alias("total")).where("total > 0")
-    return profile.join(positive.select("user_id"), "user_id", "left_semi")
+    sums = parts.groupBy("user_id", "category").agg(F.sum("own").alias("own"), F.sum("n").alias("n"))
+    weighted = sums.withColumn("weight", interest_weight * F.col("own") + (1 - interest_weight) * F.col("n"))
+    total = F.sum("weight").over(Window.partitionBy("user_id"))
+    return weighted.withColumn("total", total).where("total > 0").select("user_id", "category", "weight")
+
+
+def _none(name: str) -> Column:
+    return F.lit(0).cast("bigint").alias(name)
 
 
 def conversation_categories(conversation: DataFrame, split: Column) -> DataFrame:

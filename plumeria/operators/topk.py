@@ -87,6 +87,14 @@ def factored_topk(
     return ranked.withColumn("list_size", F.count("*").over(Window.partitionBy("user_id")))
 
 
+def user_lists(topk: DataFrame) -> DataFrame:
+    """(user_id, videos): one row per user with the list in rank order."""
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "video_id")))
+    return topk.groupBy("user_id").agg(ordered.alias("ranked")).select(
+        "user_id", F.col("ranked.video_id").alias("videos")
+    )
+
+
 def topk_by_category_score(scores: DataFrame, categories: DataFrame, k: int) -> DataFrame:
     """Top k videos per user from given (user_id, category, score) rows, highest first."""
     shelves = shelf(categories, k)

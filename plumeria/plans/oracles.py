@@ -695,8 +695,13 @@ ORACLES["interaction_matrix"] = sql(
 # Snapshots and accounts
 
 ORACLES["incremental_merge"] = sql(
-    f"""SELECT status, count(*) AS rows, count(DISTINCT id) AS ids, {stamp("max(created_at)")} AS newest
-    FROM vote GROUP BY status"""
+    f"""SELECT status, count(*) AS rows, count(DISTINCT id) AS ids, {stamp("max(created_at)")} AS newest FROM (
+      SELECT * FROM vote WHERE created_at <= TIMESTAMP '2001-06-30' AND id NOT IN (SELECT id FROM delta)
+      UNION ALL SELECT * FROM delta) GROUP BY status""",
+    """delta AS (SELECT * FROM vote
+      WHERE created_at > (SELECT max(created_at) FROM vote WHERE created_at <= TIMESTAMP '2001-06-30')
+      QUALIFY row_number() OVER (PARTITION BY id
+        ORDER BY created_at DESC, video_id DESC, voter_id DESC, status DESC) = 1)""",
 )
 ORACLES["user_upsert"] = sql(
     """SELECT user_id, username, email, CASE WHEN role = 'admin' THEN 'user_for_videos' ELSE role END AS role FROM account
