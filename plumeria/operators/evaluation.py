@@ -49,7 +49,7 @@ def ndcg_tied(k: int) -> Column:
     """NDCG at k of a 0/1 prediction: all recommended items share one tied rank block."""
     n, p, t, tp = (F.col(c) for c in ("n", "p", "t", "tp"))
     head = F.try_divide(tp, t) * discount_prefix(k, "t")
-    rest = F.try_divide(p - tp, n - t) * (discount_total(k) - discount_prefix(k, "t"))
+    rest = F.try_divide(p - tp, n - t) * (discount_prefix(k, "n") - discount_prefix(k, "t"))
     gain = F.coalesce(head, F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
     return F.when(p > 0, gain / discount_prefix(k, "p"))
 

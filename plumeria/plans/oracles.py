@@ -286,7 +286,7 @@ def _upsert(first: str, second: str) -> str:
           SELECT dt, model, {columns} FROM {second} s
           WHERE NOT EXISTS (SELECT 1 FROM {first} f WHERE f.dt = s.dt AND f.model = s.model))""",
         "stored AS (SELECT * FROM model_metrics WHERE dt <= DATE '2024-01-20')",
-        """batch AS (SELECT * REPLACE (round(recall / 2, 6) AS recall) FROM model_metrics
+        """batch AS (SELECT * REPLACE (round(recall + 1, 6) AS recall) FROM model_metrics
           WHERE dt >= DATE '2024-01-15')""",
     )
 
