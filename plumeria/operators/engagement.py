@@ -1,8 +1,14 @@
-"""How often recommendations are acted on within a few days."""
+"""How often recommendations are acted on within a few days.
+
+Two forms give the same numbers. ``acted_flags`` joins recommendations to actions
+row by row, for actions that are unique per item and user, and for streams.
+``acted_counts`` counts the actions inside each interval from running totals, so a
+pair of item and user with many rows on both sides never multiplies out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeria.functions.dates import acted_within, plus_days
@@ -25,13 +31,8 @@ def acted_flags(
     user: str,
     when: str,
     days: int = 2,
-    interval_in_join: bool = False,
 ) -> DataFrame:
-    """Recommendations left-joined to actions, with a 0/1 ``is_acted`` flag.
-
-    With ``interval_in_join`` a late action no longer adds a row, which is the
-    form a stream can compute with bounded state.
-    """
+    """Recommendations left-joined to actions, with a 0/1 ``is_acted`` flag."""
     left = recs.select(
         F.col(rec_item).alias("rec_item"), F.col(rec_user).alias("rec_user"), F.col(rec_time).alias("rec_time")
     )
@@ -39,11 +40,79 @@ def acted_flags(
         F.col(item).alias("act_item"), F.col(user).alias("act_user"), F.col(when).alias("act_time")
     )
     match = (F.col("rec_item") == F.col("act_item")) & (F.col("rec_user") == F.col("act_user"))
-    if interval_in_join:
-        match = match & F.col("act_time").between(F.col("rec_time"), plus_days("rec_time", days))
     return left.join(right, match, "left").withColumn("is_acted", acted_within("rec_time", "act_time", days))
 
 
+def acted_counts(
+    recs: DataFrame,
+    actions: DataFrame,
+    *,
+    rec_item: str,
+    rec_user: str,
+    rec_time: str,
+    item: str,
+    user: str,
+    when: str,
+    days: int = 2,
+) -> DataFrame:
+    """(rec_time, copies, matches, total): per distinct recommendation, how many actions
+    fall into its interval and how many exist for its item and user at all.
+
+    Actions up to the end of the interval minus actions before its start. The
+    running totals are cut by calendar day, so one busy pair spreads over tasks.
+    """
+    pair = ["item", "user"]
+    shown = recs.groupBy(
+        F.col(rec_item).alias("item"), F.col(rec_user).alias("user"), F.col(rec_time).alias("rec_time")
+    ).agg(F.count("*").alias("copies"))
+    acted = actions.groupBy(F.col(item).alias("item"), F.col(user).alias("user"), F.col(when).alias("at")).agg(
+        F.count("*").alias("weight")
+    )
+    # At equal times a start sorts before the actions and an end after them.
+    edges = F.explode(
+        F.array(
+            F.struct(F.col("rec_time").alias("at"), F.lit(0).alias("kind")),
+            F.struct(plus_days("rec_time", days).alias("at"), F.lit(2).alias("kind")),
+        )
+    )
+    probes = shown.select(*pair, "rec_time", "copies", edges.alias("edge")).select(
+        *pair, "edge.at", "edge.kind", F.lit(0).cast("bigint").alias("weight"), "rec_time", "copies"
+    )
+    points = probes.unionByName(acted.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn(
+        "day", F.to_date("at")
+    )
+    inside = (
+        Window.partitionBy(*pair, "day").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    earlier = Window.partitionBy(*pair).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    per_day = points.groupBy(*pair, "day").agg(F.sum("weight").alias("n"))
+    before = per_day.select(
+        *pair,
+        "day",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
+        F.sum("n").over(Window.partitionBy(*pair)).alias("total"),
+    )
+    running = points.withColumn("local", F.sum("weight").over(inside)).where("kind <> 1").join(before, [*pair, "day"])
+    signed = F.when(F.col("kind") == 2, 1).otherwise(-1) * (F.col("local") + F.col("base"))
+    return running.groupBy(*pair, "rec_time").agg(
+        F.max("copies").alias("copies"), F.sum(signed).alias("matches"), F.max("total").alias("total")
+    )
+
+
+def counted_rate(counts: DataFrame, acted: str, rate: str, interval_in_join: bool, stamp: Column | None = None):
+    """The same columns as ``daily_rate``, from counts.
+
+    A recommendation counts once per action of its item and user, at least once;
+    with ``interval_in_join`` only actions inside the interval count.
+    """
+    rows = F.greatest(F.col("matches") if interval_in_join else F.col("total"), F.lit(1))
+    hits, shown = F.sum(F.col("copies") * F.col("matches")), F.sum(F.col("copies") * rows)
+    out = counts.groupBy(F.to_date("rec_time").alias("recommendation_date")).agg(
+        hits.alias(acted), shown.alias("number_recommended"), (hits / shown).alias(rate)
+    )
+    return out if stamp is None else out.withColumn("dt", stamp)
+
+
 def daily_rate(flags: DataFrame, acted: str, rate: str, stamp: Column | None = None) -> DataFrame:
     """Sum, count and ratio of the flags per recommendation date."""
     hits = F.sum("is_acted").cast("bigint")
@@ -91,11 +160,12 @@ def conversation_like_rate(
 ) -> DataFrame:
     """Per-day share of conversation recommendations liked within two days.
 
-    Likes are not deduplicated: each matching like adds a counted row.
+    Likes are not deduplicated: each like of the pair adds to the count. With
+    ``interval_in_join`` likes outside the interval add nothing, which is the form
+    a stream can compute with bounded state.
     """
-    shown = recs if as_of is None else since(recs, "created_at", as_of, lookback_days)
-    flags = acted_flags(
-        shown,
+    counts = acted_counts(
+        recs if as_of is None else since(recs, "created_at", as_of, lookback_days),
         likes,
         rec_item="recommended_conversation_id",
         rec_user="user_id",
@@ -103,6 +173,5 @@ def conversation_like_rate(
         item="conversation_id",
         user="like_giver_id",
         when="liked_at",
-        interval_in_join=interval_in_join,
     )
-    return daily_rate(flags, "liked_conversations", "like_percentage", stamp)
+    return counted_rate(counts, "liked_conversations", "like_percentage", interval_in_join, stamp)

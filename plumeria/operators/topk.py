@@ -7,12 +7,17 @@ only, so users are scored against categories and items are joined afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CATEGORIES = 10_000
+ITEM_BLOCK = 8192
+USER_BLOCKS_PER_ITEM_BLOCK = 4
+CHUNK_ROWS = 256
 SCORE_DIGITS = 12
 
 
@@ -112,13 +117,15 @@ def topk_by_category_score(scores: DataFrame, categories: DataFrame, k: int) ->
     return ranked.withColumn("list_size", F.count("*").over(Window.partitionBy("user_id")))
 
 
-def _block_count(rows: int, block: int) -> int:
-    return max(1, -(-rows // block))
+def _block_counts(users: DataFrame, items: DataFrame, block: int) -> tuple[int, int]:
+    """How many user and item blocks to cut; small inputs still fill the cores with user blocks."""
+    n_users, n_items = users.count(), items.count()
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    wide = -(-n_users // (USER_BLOCKS_PER_ITEM_BLOCK * block))
+    return max(1, wide, min(cores, -(-n_users // 256))), max(1, -(-n_items // block))
 
 
-def _pair_blocks(
-    users: DataFrame, items: DataFrame, user_blocks: int, item_blocks: int
-) -> tuple[DataFrame, DataFrame]:
+def _pair_blocks(users: DataFrame, items: DataFrame, user_blocks: int, item_blocks: int):
     """Give both sides (ub, ib) keys so that every user block meets every item block once."""
     left = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(user_blocks))).withColumn(
         "ib", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)).cast("array<bigint>"))
@@ -129,6 +136,11 @@ def _pair_blocks(
     return left, right
 
 
+def _chunks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(rows), CHUNK_ROWS):
+        yield rows.iloc[start : start + CHUNK_ROWS]
+
+
 def _with_marks(users: DataFrame, pairs: DataFrame | None, item_blocks: int) -> DataFrame:
     """Adds the user's ``marked`` items of the same item block; a list never exceeds its block."""
     if pairs is None:
@@ -147,38 +159,40 @@ def blocked_topk(
     items: DataFrame,
     k: int,
     seen: DataFrame | None = None,
-    block: int = 2048,
+    block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """Best k items per user by dot product, leaving out ``seen`` (user_id, item_id) pairs.
 
     ``users`` and ``items`` hold an id and a ``features`` array. A task multiplies
-    one block of users with one block of items and returns k rows per user, so
-    neither side is ever broadcast and no pair is written out. Equal scores, at
+    one block of users with one block of items, a few hundred users at a time, and
+    returns k rows per user, so neither side is broadcast and no pair is written out. Equal scores, at
     ``SCORE_DIGITS`` places, are ordered by item id.
     """
-    user_blocks = _block_count(users.count(), block)
-    item_blocks = _block_count(items.count(), block)
+    user_blocks, item_blocks = _block_counts(users, items, block)
     left, right = _pair_blocks(users, items, user_blocks, item_blocks)
     left = _with_marks(left, seen, item_blocks)
 
     def best(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"user_id": [], "item_id": [], "score": []})
-        if user_rows.empty or item_rows.empty:
-            return empty
-        item_rows = item_rows.sort_values("item_id")
-        ids = item_rows["item_id"].to_numpy()
-        scores = np.stack(user_rows["features"].to_list()) @ np.stack(item_rows["features"].to_list()).T
-        scores = np.round(scores, SCORE_DIGITS)
-        for row, gone in enumerate(user_rows["marked"]):
+        parts = [pd.DataFrame({"user_id": [], "item_id": [], "score": []})]
+        if not item_rows.empty:
+            item_rows = item_rows.sort_values("item_id")
+            ids = item_rows["item_id"].to_numpy()
+            vectors = np.stack(item_rows["features"].to_list()).T
+            for rows in _chunks(user_rows):
+                parts.append(best_of(rows, ids, vectors))
+        return pd.concat(parts[1:] or parts)
+
+    def best_of(rows: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
+        scores = np.round(np.stack(rows["features"].to_list()) @ vectors, SCORE_DIGITS)
+        for row, gone in enumerate(rows["marked"]):
             if gone is not None and len(gone):
                 scores[row, np.isin(ids, gone)] = -np.inf
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        picked = np.take_along_axis(scores, top, axis=1)
         out = pd.DataFrame(
             {
-                "user_id": np.repeat(user_rows["user_id"].to_numpy(), top.shape[1]),
+                "user_id": np.repeat(rows["user_id"].to_numpy(), top.shape[1]),
                 "item_id": ids[top].ravel(),
-                "score": picked.ravel(),
+                "score": np.take_along_axis(scores, top, axis=1).ravel(),
             }
         )
         return out[np.isfinite(out["score"])]
@@ -189,28 +203,33 @@ def blocked_topk(
 
 
 def blocked_histogram(
-    users: DataFrame, items: DataFrame, liked: DataFrame, digits: int, block: int = 2048
+    users: DataFrame, items: DataFrame, liked: DataFrame, digits: int, block: int = ITEM_BLOCK
 ) -> DataFrame:
     """(score, pos, neg): liked and other pairs at each rounded dot product, over all user-item pairs.
 
     Pairs are counted inside the task that multiplies their blocks; only distinct
     rounded scores leave it.
     """
-    user_blocks = _block_count(users.count(), block)
-    item_blocks = _block_count(items.count(), block)
+    user_blocks, item_blocks = _block_counts(users, items, block)
     left, right = _pair_blocks(users, items, user_blocks, item_blocks)
     left = _with_marks(left, liked, item_blocks)
 
     def count(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
-        if user_rows.empty or item_rows.empty:
-            return pd.DataFrame({"score": [], "pos": [], "neg": []})
-        ids = item_rows["item_id"].to_numpy()
-        scores = np.stack(user_rows["features"].to_list()) @ np.stack(item_rows["features"].to_list()).T
+        parts = [pd.DataFrame({"score": [], "pos": [], "neg": []})]
+        if not item_rows.empty:
+            ids = item_rows["item_id"].to_numpy()
+            vectors = np.stack(item_rows["features"].to_list()).T
+            for rows in _chunks(user_rows):
+                parts.append(count_of(rows, ids, vectors))
+        return pd.concat(parts[1:] or parts).groupby("score", as_index=False).sum()
+
+    def count_of(rows: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
+        scores = np.round(np.stack(rows["features"].to_list()) @ vectors, digits)
         hit = np.zeros(scores.shape, dtype=bool)
-        for row, own in enumerate(user_rows["marked"]):
+        for row, own in enumerate(rows["marked"]):
             if own is not None and len(own):
                 hit[row] = np.isin(ids, own)
-        values, place = np.unique(np.round(scores, digits), return_inverse=True)
+        values, place = np.unique(scores, return_inverse=True)
         place = place.ravel()
         n = np.bincount(place, minlength=len(values))
         pos = np.bincount(place[hit.ravel()], minlength=len(values))

@@ -1,6 +1,7 @@
 """The acted-upon rate in batch and as a stream."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -36,6 +37,26 @@ def test_interval_in_join_drops_late_rows(spark):
     assert conversation_like_rate(recs, likes, interval_in_join=True).first()["number_recommended"] == 1
 
 
+def test_counts_equal_the_row_join(spark):
+    """Repeated recommendations and likes of the same pairs, at equal and different times."""
+    rng = random.Random(11)
+    recs = [(n, rng.randint(1, 3), rng.randint(1, 2), at(rng.randint(0, 120))) for n in range(60)]
+    acts = [(n, rng.randint(1, 3), rng.randint(1, 3), at(rng.randint(0, 160))) for n in range(80)]
+    shown, liked = spark.createDataFrame(recs, RECS), spark.createDataFrame(acts, LIKES)
+    for narrow in (False, True):
+        want = {}
+        for _, user, item, start in recs:
+            end = start + dt.timedelta(days=2)
+            times = [t for _, u, c, t in acts if (u, c) == (user, item)]
+            inside = [t for t in times if start <= t <= end]
+            cell = want.setdefault(start.date(), [0, 0])
+            cell[0] += len(inside)
+            cell[1] += max(1, len(inside if narrow else times))
+        rows = conversation_like_rate(shown, liked, interval_in_join=narrow).collect()
+        got = {r["recommendation_date"]: [r["liked_conversations"], r["number_recommended"]] for r in rows}
+        assert got == want
+
+
 def test_first_vote_counts_once(spark):
     recs = spark.createDataFrame(
         [(1, 1, 5, at(0)), (2, 2, 5, at(0)), (3, 1, 5, at(-100))],

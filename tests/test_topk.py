@@ -71,7 +71,7 @@ def vectors(n, seed):
     return {int(i): [float(x) for x in rng.integers(-3, 4, 4)] for i in rng.choice(1000, n, replace=False)}
 
 
-@pytest.mark.parametrize("block", [4, 2048])
+@pytest.mark.parametrize("block", [4, 8192])
 def test_blocked_equals_brute_force(spark, block):
     users, items = vectors(30, 1), vectors(25, 2)
     rng = np.random.default_rng(3)
@@ -93,7 +93,7 @@ def test_blocked_equals_brute_force(spark, block):
     assert {(r["user_id"], r["item_id"], r["rank"]) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("block", [4, 2048])
+@pytest.mark.parametrize("block", [4, 8192])
 def test_blocked_histogram_counts_every_pair(spark, block):
     users, items = vectors(12, 4), vectors(9, 5)
     liked = {(u, i) for n, u in enumerate(users) for m, i in enumerate(items) if (n + m) % 4 == 0}
