@@ -54,6 +54,21 @@ def ndcg_tied(k: int) -> Column:
     return F.when(p > 0, gain / discount_prefix(k, "p"))
 
 
+def list_counts(rows: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """(by, p, t, tp, hit) from rows of a relevant ``video_id`` and the user's list ``videos``."""
+    place = F.array_position("videos", F.col("video_id"))
+    return (
+        rows.select(*by, F.size("videos").alias("t"), place.alias("rank"))
+        .groupBy(*by)
+        .agg(
+            F.count("*").alias("p"),
+            F.max("t").alias("t"),
+            F.count(F.when(F.col("rank") > 0, 1)).alias("tp"),
+            F.max(F.when(F.col("rank").between(1, k), 1).otherwise(0)).alias("hit"),
+        )
+    )
+
+
 def daily_counts(truth: DataFrame, topk: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     """(dt, user_id, n, p, t, tp, hit) from (dt, user_id, video_id) and top lists.
 
@@ -64,20 +79,9 @@ def daily_counts(truth: DataFrame, topk: DataFrame, catalogue: DataFrame, k: int
         truth.select("dt", "user_id", "video_id")
         .distinct()
         .join(catalogue.select("video_id").distinct(), "video_id", "left_semi")
-        .join(user_lists(topk), "user_id")
-    )
-    place = F.array_position("videos", F.col("video_id"))
-    return (
-        relevant.select("dt", "user_id", F.size("videos").alias("t"), place.alias("rank"))
-        .groupBy("dt", "user_id")
-        .agg(
-            F.count("*").alias("p"),
-            F.max("t").alias("t"),
-            F.count(F.when(F.col("rank") > 0, 1)).alias("tp"),
-            F.max(F.when(F.col("rank").between(1, k), 1).otherwise(0)).alias("hit"),
-        )
-        .withColumn("n", size)
+        .join(user_lists(topk, ["user_id"]), "user_id")
     )
+    return list_counts(relevant, ["dt", "user_id"], k).withColumn("n", size)
 
 
 def user_metrics(counts: DataFrame, k: int) -> DataFrame:
@@ -95,10 +99,10 @@ def user_metrics(counts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def macro_daily(per_user: DataFrame, model: str) -> DataFrame:
+def macro_daily(per_user: DataFrame, model: str, by: Sequence[str] = ("dt",)) -> DataFrame:
     """Mean of the per-user metrics per day, with the number of users behind it."""
     means = [F.avg(m).alias(m) for m in RANKING]
-    return per_user.groupBy("dt").agg(*means, F.count("*").alias("users")).withColumn("model", F.lit(model))
+    return per_user.groupBy(*by).agg(*means, F.count("*").alias("users")).withColumn("model", F.lit(model))
 
 
 def metric_row(df: DataFrame, model: str) -> DataFrame:

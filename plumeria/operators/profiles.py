@@ -49,15 +49,21 @@ def user_category_profile(
     categories: DataFrame,
     split: Column,
     votes_until: Column | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Declared interest plus vote balance, for users who voted.
 
     Categories are limited to those someone declared. ``votes_until`` keeps later
     votes out of the profile; ``None`` uses them all. Votes are read once: whether
-    a user voted is settled on the aggregated rows.
+    a user voted is settled on the aggregated rows. ``only`` (user_id) builds the
+    profiles of some users, which are the same as among all.
     """
     declared = declared_interest(interest, split)
+    vocabulary = declared.select("category").distinct()
     known = votes if votes_until is None else train_until(votes, "created_at", votes_until)
+    if only is not None:
+        declared = declared.join(only, "user_id", "left_semi")
+        known = known.join(only.withColumnRenamed("user_id", "voter_id"), "voter_id", "left_semi")
     parts = (
         signed_votes(known, categories)
         .withColumn("voted", F.lit(True))
@@ -67,7 +73,6 @@ def user_category_profile(
         F.sum("value").cast("bigint").alias("weight"), F.max("voted").alias("voted")
     )
     voters = sums.withColumn("voted", F.max("voted").over(Window.partitionBy("user_id"))).where("voted")
-    vocabulary = declared.select("category").distinct()
     return voters.join(vocabulary, "category", "left_semi").select("user_id", "category", "weight")
 
 

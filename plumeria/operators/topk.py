@@ -21,29 +21,29 @@ CHUNK_ROWS = 256
 SCORE_DIGITS = 12
 
 
-def top_per_key(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First k rows per key with their 1-based rank. Spark applies the limit before the shuffle too."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
 
-def shelf(categories: DataFrame, k: int) -> DataFrame:
+def shelf(categories: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The k lowest video ids per category, as an array: all a top-k list can draw on."""
-    first = top_per_key(categories.distinct(), "category", [F.col("video_id")], k)
-    return first.groupBy("category").agg(F.sort_array(F.collect_list("video_id")).alias("videos"))
+    keys = [*by, "category"]
+    first = top_per_key(categories.distinct(), keys, [F.col("video_id")], k)
+    return first.groupBy(*keys).agg(F.sort_array(F.collect_list("video_id")).alias("videos"))
 
 
-def _shelves(categories: DataFrame, vocabulary: DataFrame, k: int) -> Column:
-    """All shelves in one array value; its size is checked when the query runs."""
-    rows = shelf(categories.join(vocabulary, "category", "left_semi"), k)
-    packed = rows.agg(
+def packed(shelves: DataFrame, by: list[str]) -> DataFrame:
+    """All shelves (per key) in one array value; its size is checked when the query runs."""
+    rows = shelves.groupBy(*by).agg(
         F.collect_list(F.struct("category", "videos")).alias("shelves"), F.count("*").alias("n")
     )
     fits = F.assert_true(F.col("n") <= MAX_CATEGORIES, f"more than {MAX_CATEGORIES} categories")
-    return packed.select(F.when(fits.isNull(), F.col("shelves")).alias("shelves")).scalar()
+    return rows.select(*by, F.when(fits.isNull(), F.col("shelves")).alias("shelves"))
 
 
-def category_scores(profile: DataFrame, measure: str) -> Column:
+def category_scores(measure: str) -> Column:
     """Score of a user against a one-hot category, from its weight and the user's squared norm."""
     weight, norm2 = F.col("weight"), F.col("norm2")
     if measure == "cosine":
@@ -69,51 +69,59 @@ def factored_topk(
     ranked; a category the user has no weight for scores as weight zero. Equal scores are ordered by video id. Users with a zero profile get no list.
     After the per-user aggregate every step runs in the same user partitioning.
     """
-    users = (
-        profile.groupBy("user_id")
+    shelves = shelf(categories.join(vocabulary, "category", "left_semi"), k)
+    users = user_weights(profile, ["user_id"]).withColumn("shelves", packed(shelves, []).scalar())
+    return rank_shelves(users, ["user_id"], k, measure, ascending)
+
+
+def user_weights(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with its weights as a map and their squared norm; zero profiles are dropped."""
+    return (
+        profile.groupBy(*keys)
         .agg(
             F.sum(F.col("weight").cast("double") * F.col("weight")).alias("norm2"),
             F.map_from_entries(F.collect_list(F.struct("category", "weight"))).alias("weights"),
         )
         .where("norm2 > 0")
     )
+
+
+def rank_shelves(users: DataFrame, keys: list[str], k: int, measure: str, ascending: bool = False) -> DataFrame:
+    """(keys, video_id, score, rank, list_size) from rows of weights and shelves.
+
+    A category is opened only while the better ones hold fewer than k videos.
+    """
     grid = (
-        users.withColumn("shelf", F.explode(_shelves(categories, vocabulary, k)))
+        users.withColumn("shelf", F.explode("shelves"))
         .withColumn("weight", F.coalesce(F.element_at("weights", F.col("shelf.category")), F.lit(0)))
-        .select("user_id", "shelf", F.round(category_scores(profile, measure), SCORE_DIGITS).alias("score"))
+        .select(*keys, "shelf", F.round(category_scores(measure), SCORE_DIGITS).alias("score"))
     )
     order = F.col("score").asc() if ascending else F.col("score").desc()
-    upto = Window.partitionBy("user_id").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy("user_id", "score")
-    size = F.size("shelf.videos")
-    needed = grid.withColumn("ahead", F.sum(size).over(upto) - F.sum(size).over(peers)).where(F.col("ahead") < k)
-    items = needed.select("user_id", "score", F.explode("shelf.videos").alias("video_id"))
-    ranked = top_per_key(items, "user_id", [order, F.col("video_id")], k)
-    return ranked.withColumn("list_size", F.count("*").over(Window.partitionBy("user_id")))
+    opened = _while_short(grid, keys, order, F.size("shelf.videos"), k)
+    items = opened.select(*keys, "score", F.explode("shelf.videos").alias("video_id"))
+    ranked = top_per_key(items, keys, [order, F.col("video_id")], k)
+    return ranked.withColumn("list_size", F.count("*").over(Window.partitionBy(*keys)))
+
+
+def _while_short(rows: DataFrame, keys: list[str], order: Column, size: Column, k: int) -> DataFrame:
+    """Rows whose strictly better rows of the same key hold fewer than k items in all."""
+    upto = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.sum(size).over(upto) - F.sum(size).over(Window.partitionBy(*keys, "score"))
+    return rows.withColumn("ahead", ahead).where(F.col("ahead") < k).drop("ahead")
 
 
-def user_lists(topk: DataFrame) -> DataFrame:
-    """(user_id, videos): one row per user with the list in rank order."""
+def user_lists(topk: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, videos): one row per key with the list in rank order."""
     ordered = F.sort_array(F.collect_list(F.struct("rank", "video_id")))
-    return topk.groupBy("user_id").agg(ordered.alias("ranked")).select(
-        "user_id", F.col("ranked.video_id").alias("videos")
-    )
+    return topk.groupBy(*keys).agg(ordered.alias("ranked")).select(*keys, F.col("ranked.video_id").alias("videos"))
 
 
 def topk_by_category_score(scores: DataFrame, categories: DataFrame, k: int) -> DataFrame:
     """Top k videos per user from given (user_id, category, score) rows, highest first."""
-    shelves = shelf(categories, k)
-    best = scores.join(shelves, "category")
-    upto = (
-        Window.partitionBy("user_id")
-        .orderBy(F.col("score").desc())
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    size = F.size("videos")
-    ahead = F.sum(size).over(upto) - F.sum(size).over(Window.partitionBy("user_id", "score"))
-    items = best.withColumn("ahead", ahead).where(F.col("ahead") < k)
-    items = items.select("user_id", "score", F.explode("videos").alias("video_id"))
-    ranked = top_per_key(items, "user_id", [F.col("score").desc(), F.col("video_id")], k)
+    best = scores.join(shelf(categories, k), "category")
+    opened = _while_short(best, ["user_id"], F.col("score").desc(), F.size("videos"), k)
+    items = opened.select("user_id", "score", F.explode("videos").alias("video_id"))
+    ranked = top_per_key(items, ["user_id"], [F.col("score").desc(), F.col("video_id")], k)
     return ranked.withColumn("list_size", F.count("*").over(Window.partitionBy("user_id")))
 
 
@@ -199,7 +207,7 @@ def blocked_topk(
 
     pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
     nearest = pairs.applyInPandas(best, "user_id bigint, item_id bigint, score double")
-    return top_per_key(nearest, "user_id", [F.col("score").desc(), F.col("item_id")], k)
+    return top_per_key(nearest, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
 def blocked_histogram(

@@ -12,7 +12,7 @@ from plumeria.functions import similarity, text
 from plumeria.functions.dates import cycle_count, evaluation_end, ts
 from plumeria.operators import engagement, evaluation, explore, indexing, keyed, products, profiles, quality, series
 from plumeria.operators import splits, tagging
-from plumeria.plans import conversation, daily, dashboard, forest, neural, video
+from plumeria.plans import backtest, conversation, daily, dashboard, forest, neural, video
 from plumeria.plans.views import SocialTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,7 +454,12 @@ def euclid_topk(t):
 
 @_query
 def video_backtest(t):
-    return daily.content_backtest(_video_tables(t), "2001-10-20", 4)
+    return backtest.content_backtest(_video_tables(t), "2001-10-20", 4)
+
+
+@_query
+def dot_backtest(t):
+    return backtest.weighted_backtest(_video_tables(t), "2001-10-24", 3)
 
 
 @_query

@@ -535,14 +535,19 @@ ORACLES["knn_daily_metrics"] = _daily_sql(3, "knn", *_profile(), *_ranked("profi
 ORACLES["dot_daily_metrics"] = _daily_sql(10, "svd", *_profile(), _WATCH, _BLENDED, *_ranked("blended", "dot"))
 
 
-def _content_cycle(day: str) -> str:
+def _cycle(day: str, k: int, model: str, *ranked: str) -> str:
     end = (date.fromisoformat(day) + timedelta(days=1)).isoformat()
-    select, more = _daily(day, end, 3, "knn", f", '{day}' AS split_date")
-    return "SELECT * FROM (WITH " + ",\n".join([*_profile(day), *_ranked("profile", "cosine"), *more]) + select + ")"
+    select, more = _daily(day, end, k, model, f", '{day}' AS split_date")
+    return "SELECT * FROM (WITH " + ",\n".join([*_profile(day), *ranked, *more]) + select + ")"
 
 
 ORACLES["video_backtest"] = sql(
-    "\nUNION ALL\n".join(_content_cycle(f"2001-10-{20 + i}") for i in range(4))
+    "\nUNION ALL\n".join(_cycle(f"2001-10-{20 + i}", 3, "knn", *_ranked("profile", "cosine")) for i in range(4))
+)
+ORACLES["dot_backtest"] = sql(
+    "\nUNION ALL\n".join(
+        _cycle(f"2001-10-{24 + i}", 10, "svd", _WATCH, _BLENDED, *_ranked("blended", "dot")) for i in range(3)
+    )
 )
 
 

@@ -41,22 +41,25 @@ class Features:
     vocabulary: DataFrame
 
 
-def features(tables: VideoTables, split: Column, leak_votes: bool = False) -> Features:
-    """Features at the split date.
+def features(
+    tables: VideoTables, split: Column, leak_votes: bool = False, only: DataFrame | None = None
+) -> Features:
+    """Features at the split date, of all users or of the given ones.
 
     ``leak_votes`` also counts votes cast after the split, as the first version
     of this recommender did.
     """
     catalogue = video_categories(tables.video, tables.season, split)
     until = None if leak_votes else split
-    profile = user_category_profile(tables.interest, tables.vote, catalogue, split, until)
+    profile = user_category_profile(tables.interest, tables.vote, catalogue, split, until, only)
     return Features(profile, catalogue, declared_interest(tables.interest, split).select("category").distinct())
 
 
-def watch_features(tables: VideoTables, split: Column) -> Features:
+def watch_features(tables: VideoTables, split: Column, only: DataFrame | None = None) -> Features:
     """Features with the watch ratio blended into the profile."""
-    base = features(tables, split)
-    weighted = watch_weighted_profile(base.profile, tables.feed, base.catalogue, base.vocabulary)
+    base = features(tables, split, only=only)
+    feed = tables.feed if only is None else tables.feed.join(only, "user_id", "left_semi")
+    weighted = watch_weighted_profile(base.profile, feed, base.catalogue, base.vocabulary)
     return Features(weighted, base.catalogue, base.vocabulary)
 
 
@@ -94,11 +97,16 @@ def daily_metrics(
     return macro_daily(user_metrics(counts, k), model)
 
 
+def active_users(votes: DataFrame, split: Column, end: Column | None) -> DataFrame:
+    """Users with a vote to evaluate; no others need a list."""
+    return vote_truth(votes, split, end).select("user_id").distinct()
+
+
 def content_metrics(tables: VideoTables, split: Column, end: Column, k: int = 3) -> DataFrame:
-    found = features(tables, split)
+    found = features(tables, split, only=active_users(tables.vote, split, end))
     return daily_metrics(rank(found, "cosine"), found.catalogue, tables.vote, split, end, k, "knn")
 
 
 def weighted_metrics(tables: VideoTables, split: Column, end: Column, k: int = 10) -> DataFrame:
-    found = watch_features(tables, split)
+    found = watch_features(tables, split, active_users(tables.vote, split, end))
     return daily_metrics(rank(found, "dot"), found.catalogue, tables.vote, split, end, k, "svd")
