@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 from plumeria.functions import similarity, text
 from plumeria.functions.dates import cycle_count, evaluation_end, ts
-from plumeria.operators import engagement, evaluation, explore, indexing, keyed, products, profiles, quality, series
-from plumeria.operators import splits, tagging
-from plumeria.plans import backtest, conversation, daily, dashboard, forest, neural, video
+from plumeria.operators import (
+    engagement,
+    evaluation,
+    indexing,
+    keyed,
+    products,
+    profiles,
+    projection,
+    quality,
+    series,
+    splits,
+    tagging,
+)
+from plumeria.plans import backtest, conversation, daily, dashboard, forest, neural, streams, video
 from plumeria.plans.views import SocialTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +113,16 @@ def conversation_like_rate_interval_join(t):
     )
 
 
+@_query
+def stream_like_rate(t):
+    return streams.final_like_rates(t)
+
+
+@_query
+def stream_snapshot_merge(t):
+    return streams.merged_likes(t)
+
+
 @_query
 def latest_rate_per_date(t):
     return keyed.latest_snapshot(t.rate_log(), "recommendation_date", "dt")
@@ -462,6 +483,11 @@ def dot_backtest(t):
     return backtest.weighted_backtest(_video_tables(t), "2001-10-24", 3)
 
 
+@_query
+def svd_factors(t):
+    return projection.svd_factors(video.features(_video_tables(t), _split()).profile, 3)
+
+
 @_query
 def rf_topk(t):
     return forest.forest_topk(_video_tables(t), _split())
@@ -669,6 +695,11 @@ def hash_column(t):
     return t.account().select("username", text.password_digest("email").alias("digest"))
 
 
+@_query
+def account_fresh_ids(t):
+    return t.account().select("username", text.fresh_id().alias("account_id"))
+
+
 @_query
 def full_text(t):
     return t.conversation().select("id", text.full_text("title", "caption").alias("text"))

@@ -143,6 +143,24 @@ ORACLES["conversation_like_rate_interval_join"] = _conversation_rate(
     on="liked_at BETWEEN c.created_at AND c.created_at + INTERVAL 2 DAY"
 )
 
+ORACLES["stream_like_rate"] = sql(
+    f"""SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS recommendation_date,
+      CAST(sum(f) AS BIGINT) AS liked_conversations, count(f) AS number_recommended,
+      {r("sum(f) / count(f)")} AS like_percentage
+    FROM flagged WHERE CAST(created_at AS DATE) + 1 <= (SELECT least(
+        (SELECT max(created_at) FROM rs_daily_conversation_for_user),
+        (SELECT max(liked_at) FROM conversation_like)) - INTERVAL 1 HOUR - INTERVAL 2 DAY)
+    GROUP BY CAST(created_at AS DATE)""",
+    """flagged AS (SELECT c.created_at, CASE WHEN liked_at IS NOT NULL THEN 1 ELSE 0 END AS f
+      FROM rs_daily_conversation_for_user c LEFT JOIN conversation_like
+        ON recommended_conversation_id = conversation_id AND user_id = like_giver_id
+        AND liked_at BETWEEN c.created_at AND c.created_at + INTERVAL 2 DAY)""",
+)
+ORACLES["stream_snapshot_merge"] = sql(
+    f"""SELECT activity_id, like_giver_id, conversation_id, {stamp("liked_at")} AS liked_at FROM conversation_like
+    QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY liked_at DESC) = 1"""
+)
+
 LATEST_RATE = """latest AS (SELECT * FROM rate_log
   QUALIFY row_number() OVER (PARTITION BY recommendation_date ORDER BY dt DESC) = 1)"""
 
