@@ -55,47 +55,51 @@ def acted_counts(
     when: str,
     days: int = 2,
 ) -> DataFrame:
-    """(rec_time, copies, matches, total): per distinct recommendation, how many actions
-    fall into its interval and how many exist for its item and user at all.
+    """(rec_time, copies, matches, total): per item, user and time of recommendation, how
+    often it was shown, how many actions fall into its interval, and how many exist for
+    its item and user at all.
 
     Actions up to the end of the interval minus actions before its start. The
     running totals are cut by calendar day, so one busy pair spreads over tasks.
     """
     pair = ["item", "user"]
-    shown = recs.groupBy(
-        F.col(rec_item).alias("item"), F.col(rec_user).alias("user"), F.col(rec_time).alias("rec_time")
-    ).agg(F.count("*").alias("copies"))
-    acted = actions.groupBy(F.col(item).alias("item"), F.col(user).alias("user"), F.col(when).alias("at")).agg(
-        F.count("*").alias("weight")
-    )
     # At equal times a start sorts before the actions and an end after them.
     edges = F.explode(
         F.array(
-            F.struct(F.col("rec_time").alias("at"), F.lit(0).alias("kind")),
-            F.struct(plus_days("rec_time", days).alias("at"), F.lit(2).alias("kind")),
+            F.struct(F.col(rec_time).alias("at"), F.lit(0).alias("kind")),
+            F.struct(plus_days(rec_time, days).alias("at"), F.lit(2).alias("kind")),
         )
     )
-    probes = shown.select(*pair, "rec_time", "copies", edges.alias("edge")).select(
-        *pair, "edge.at", "edge.kind", F.lit(0).cast("bigint").alias("weight"), "rec_time", "copies"
-    )
-    points = probes.unionByName(acted.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn(
-        "day", F.to_date("at")
+    probes = recs.select(
+        F.col(rec_item).alias("item"), F.col(rec_user).alias("user"), F.col(rec_time).alias("rec_time"), edges.alias("e")
+    ).select(*pair, "rec_time", "e.at", "e.kind", F.lit(0).alias("weight"))
+    acted = actions.where(F.col(item).isNotNull() & F.col(user).isNotNull() & F.col(when).isNotNull()).select(
+        F.col(item).alias("item"), F.col(user).alias("user"), F.col(when).alias("at")
     )
+    points = probes.unionByName(
+        acted.withColumns({"kind": F.lit(1), "weight": F.lit(1)}), allowMissingColumns=True
+    ).withColumn("day", F.to_date("at"))
+
     inside = (
         Window.partitionBy(*pair, "day").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    running = points.withColumn("local", F.sum("weight").over(inside)).where("kind <> 1")
     earlier = Window.partitionBy(*pair).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = points.groupBy(*pair, "day").agg(F.sum("weight").alias("n"))
-    before = per_day.select(
-        *pair,
-        "day",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
-        F.sum("n").over(Window.partitionBy(*pair)).alias("total"),
+    before = (
+        points.groupBy(*pair, "day")
+        .agg(F.sum("weight").alias("n"))
+        .select(
+            *pair, "day", F.sum("n").over(earlier).alias("base"), F.sum("n").over(Window.partitionBy(*pair)).alias("total")
+        )
     )
-    running = points.withColumn("local", F.sum("weight").over(inside)).where("kind <> 1").join(before, [*pair, "day"])
-    signed = F.when(F.col("kind") == 2, 1).otherwise(-1) * (F.col("local") + F.col("base"))
-    return running.groupBy(*pair, "rec_time").agg(
-        F.max("copies").alias("copies"), F.sum(signed).alias("matches"), F.max("total").alias("total")
+    upto = F.col("local") + F.coalesce("base", F.lit(0))
+    hits = F.sum(F.when(F.col("kind") == 2, upto).otherwise(-upto))
+    copies = F.count(F.when(F.col("kind") == 2, 1))
+    return (
+        running.join(before, [*pair, "day"], "left")
+        .groupBy(*pair, "rec_time")
+        .agg(copies.alias("copies"), hits.alias("hits"), F.coalesce(F.max("total"), F.lit(0)).alias("total"))
+        .select("rec_time", "copies", F.expr("hits div copies").alias("matches"), "total")
     )
 
 

@@ -118,6 +118,11 @@ def stream_like_rate(t):
     return streams.final_like_rates(t)
 
 
+@_query
+def stream_video_rate(t):
+    return streams.final_video_rates(t)
+
+
 @_query
 def stream_snapshot_merge(t):
     return streams.merged_likes(t)
@@ -605,7 +610,7 @@ def vector_similarities(t):
 
 @_query
 def conversation_text_tagging(t):
-    names = [r[0] for r in t.table("region").select("r_name").limit(tagging.MAX_LABELS).collect()]
+    names = tagging.label_names(t.user_interest(), "name")
     texts = t.conversation().select("id", text.full_text("title", "caption").alias("text"))
     return tagging.tag_texts(texts, "id", "text", names)
 

@@ -156,6 +156,19 @@ ORACLES["stream_like_rate"] = sql(
         ON recommended_conversation_id = conversation_id AND user_id = like_giver_id
         AND liked_at BETWEEN c.created_at AND c.created_at + INTERVAL 2 DAY)""",
 )
+ORACLES["stream_video_rate"] = sql(
+    f"""SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS recommendation_date,
+      CAST(sum(f) AS BIGINT) AS upvoted_videos, count(f) AS number_recommended, {r("sum(f) / count(f)")} AS upvote_percentage
+    FROM flagged WHERE CAST(created_at AS DATE) + 1 <= (SELECT least(
+        (SELECT max(created_at) FROM rs_daily_video_for_user),
+        (SELECT max(created_at) FROM vote)) - INTERVAL 1 HOUR - INTERVAL 2 DAY)
+    GROUP BY CAST(created_at AS DATE)""",
+    """flagged AS (SELECT recommendation_id, user_id, recommended_video_id, c.created_at,
+        max(CASE WHEN v.created_at IS NOT NULL THEN 1 ELSE 0 END) AS f
+      FROM rs_daily_video_for_user c LEFT JOIN vote v ON recommended_video_id = video_id AND user_id = voter_id
+        AND v.created_at BETWEEN c.created_at AND c.created_at + INTERVAL 2 DAY
+      GROUP BY ALL)""",
+)
 ORACLES["stream_snapshot_merge"] = sql(
     f"""SELECT activity_id, like_giver_id, conversation_id, {stamp("liked_at")} AS liked_at FROM conversation_like
     QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY liked_at DESC) = 1"""
@@ -689,10 +702,10 @@ ORACLES["vector_similarities"] = sql(
 )
 ORACLES["conversation_text_tagging"] = sql(
     f"""SELECT id, CASE WHEN share > 0 THEN name END AS label, {r("coalesce(share, 0)")} AS score FROM (
-      SELECT c.id, r_name AS name, len(list_intersect(string_split(lower(r_name), ' '),
-          string_split(lower(title || ' ' || caption), ' '))) / len(string_split(lower(r_name), ' ')) AS share
-      FROM conversation c CROSS JOIN region
-      QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY share DESC NULLS LAST, r_name) = 1)"""
+      SELECT c.id, name, len(list_intersect(string_split(lower(name), ' '),
+          string_split(lower(title || ' ' || caption), ' '))) / len(string_split(lower(name), ' ')) AS share
+      FROM conversation c CROSS JOIN (SELECT DISTINCT name FROM user_interest)
+      QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY share DESC NULLS LAST, name) = 1)"""
 )
 
 

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 
 from plumeria.plans.views import SocialTables
 from plumeria.session import checkpoint_dir
-from plumeria.streaming.engagement import conversation_rate_stream, drain, drain_to_parquet
+from plumeria.streaming.engagement import (
+    conversation_rate_stream,
+    drain,
+    drain_to_parquet,
+    file_stream,
+    video_rate_stream,
+)
 from plumeria.streaming.ingest import merge_into
 
 
@@ -34,6 +40,20 @@ def final_like_rates(tables: SocialTables) -> DataFrame:
     return tables.spark.read.parquet(f"{folder}/rates")
 
 
+def final_video_rates(tables: SocialTables) -> DataFrame:
+    """Rates of the dates that are final, from recommendations and votes landed as files."""
+    folder = _fresh_folder(tables)
+    recs, votes = tables.rs_daily_video_for_user(), tables.vote()
+    recs.write.parquet(f"{folder}/recs")
+    votes.write.parquet(f"{folder}/votes")
+    rates = video_rate_stream(
+        file_stream(tables.spark, f"{folder}/recs", recs.schema),
+        file_stream(tables.spark, f"{folder}/votes", votes.schema),
+    )
+    drain_to_parquet(rates, f"{folder}/rates", f"{folder}/state").awaitTermination()
+    return tables.spark.read.parquet(f"{folder}/rates")
+
+
 def merged_likes(tables: SocialTables) -> DataFrame:
     """Likes as a snapshot kept up to date by a stream."""
     folder = _fresh_folder(tables)

@@ -19,39 +19,65 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return reader.parquet(path)
 
 
-def conversation_rate_stream(
-    recs: DataFrame, likes: DataFrame, days: int = 2, lateness: str = "1 hour"
-) -> DataFrame:
-    """(recommendation_date, liked_conversations, number_recommended, like_percentage).
-
-    A left outer join on item, user and the time interval: state is dropped once
-    no later like can match, and a date is emitted once it is final.
-    """
-    shown = recs.select(
-        F.col("recommended_conversation_id").alias("rec_item"),
+def _shown(recs: DataFrame, item: str, lateness: str) -> DataFrame:
+    return recs.select(
+        F.col("recommendation_id").alias("rec_id"),
+        F.col(item).alias("rec_item"),
         F.col("user_id").alias("rec_user"),
         F.col("created_at").cast("timestamp").alias("rec_time"),
     ).withWatermark("rec_time", lateness)
-    acted = likes.select(
-        F.col("conversation_id").alias("act_item"),
-        F.col("like_giver_id").alias("act_user"),
-        F.col("liked_at").cast("timestamp").alias("act_time"),
+
+
+def _acted(actions: DataFrame, item: str, user: str, when: str, lateness: str) -> DataFrame:
+    return actions.select(
+        F.col(item).alias("act_item"), F.col(user).alias("act_user"), F.col(when).cast("timestamp").alias("act_time")
     ).withWatermark("act_time", lateness)
+
+
+def _flags(shown: DataFrame, acted: DataFrame, days: int) -> DataFrame:
+    """Left outer join on item, user and interval: state is dropped once no later action can match."""
     within = F.col("act_time").between(F.col("rec_time"), plus_days("rec_time", days))
     match = (F.col("rec_item") == F.col("act_item")) & (F.col("rec_user") == F.col("act_user")) & within
-    flags = shown.join(acted, match, "left_outer").withColumn("is_acted", acted_within("rec_time", "act_time", days))
+    return shown.join(acted, match, "left_outer").withColumn("is_acted", acted_within("rec_time", "act_time", days))
+
+
+def _daily(flags: DataFrame, acted: str, rate: str) -> DataFrame:
+    """Per recommendation date, emitted once the date is final."""
     hits = F.sum("is_acted").cast("bigint")
     daily = flags.groupBy(F.window("rec_time", "1 day")).agg(
-        hits.alias("liked_conversations"),
+        hits.alias(acted),
         F.count("is_acted").alias("number_recommended"),
-        (hits / F.count("is_acted")).alias("like_percentage"),
+        (hits / F.count("is_acted")).alias(rate),
     )
-    return daily.select(
-        F.to_date("window.start").alias("recommendation_date"),
-        "liked_conversations",
-        "number_recommended",
-        "like_percentage",
+    return daily.select(F.to_date("window.start").alias("recommendation_date"), acted, "number_recommended", rate)
+
+
+def conversation_rate_stream(
+    recs: DataFrame, likes: DataFrame, days: int = 2, lateness: str = "1 hour"
+) -> DataFrame:
+    """(recommendation_date, liked_conversations, number_recommended, like_percentage); every like counts."""
+    flags = _flags(
+        _shown(recs, "recommended_conversation_id", lateness),
+        _acted(likes, "conversation_id", "like_giver_id", "liked_at", lateness),
+        days,
+    )
+    return _daily(flags, "liked_conversations", "like_percentage")
+
+
+def video_rate_stream(recs: DataFrame, votes: DataFrame, days: int = 2, lateness: str = "1 hour") -> DataFrame:
+    """(recommendation_date, upvoted_videos, number_recommended, upvote_percentage).
+
+    A recommendation counts once, however many votes fall into its interval. A vote
+    from before the recommendation is not remembered, unlike in the batch form.
+    """
+    flags = _flags(
+        _shown(recs, "recommended_video_id", lateness),
+        _acted(votes, "video_id", "voter_id", "created_at", lateness),
+        days,
     )
+    key = ["rec_id", "rec_item", "rec_user", "rec_time"]
+    once = flags.select(*key, "is_acted").dropDuplicates(key)
+    return _daily(once, "upvoted_videos", "upvote_percentage")
 
 
 def upsert_rates(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:

@@ -42,12 +42,14 @@ def test_counts_equal_the_row_join(spark):
     rng = random.Random(11)
     recs = [(n, rng.randint(1, 3), rng.randint(1, 2), at(rng.randint(0, 120))) for n in range(60)]
     acts = [(n, rng.randint(1, 3), rng.randint(1, 3), at(rng.randint(0, 160))) for n in range(80)]
+    recs += [(97, None, 1, at(5)), (98, 1, None, at(5)), (99, None, None, at(5))]
+    acts += [(97, None, 1, at(6)), (98, 1, None, at(6)), (99, None, None, at(6))]
     shown, liked = spark.createDataFrame(recs, RECS), spark.createDataFrame(acts, LIKES)
     for narrow in (False, True):
         want = {}
         for _, user, item, start in recs:
             end = start + dt.timedelta(days=2)
-            times = [t for _, u, c, t in acts if (u, c) == (user, item)]
+            times = [t for _, u, c, t in acts if None not in (user, item) and (u, c) == (user, item)]
             inside = [t for t in times if start <= t <= end]
             cell = want.setdefault(start.date(), [0, 0])
             cell[0] += len(inside)
