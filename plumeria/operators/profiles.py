@@ -155,3 +155,11 @@ def like_category_counts(likes: DataFrame, categories: DataFrame, split: Column)
         .groupBy("user_id", "category")
         .agg(F.count("*").alias("weight"))
     )
+
+
+def as_matrix(long: DataFrame, key: str, names: list[str], value: str = "weight", prefix: str = "") -> DataFrame:
+    """One row per key and one column per named category, 0 where there is no row; repeats add up."""
+    cells = [
+        F.coalesce(F.sum(F.when(F.col("category") == n, F.col(value))), F.lit(0)).alias(f"{prefix}{n}") for n in names
+    ]
+    return long.groupBy(key).agg(*cells)

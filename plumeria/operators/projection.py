@@ -9,7 +9,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeria.operators.topk import MAX_CATEGORIES
+from plumeria.operators.tagging import label_names
 
 
 def profile_vectors(profile: DataFrame, names: list[str]) -> DataFrame:
@@ -26,9 +26,7 @@ def right_vectors(profile: DataFrame, k: int) -> tuple[list[str], np.ndarray, np
     The users stay distributed; the width of the matrix is checked first. The sign
     of each vector makes its largest entry positive.
     """
-    names = [r[0] for r in profile.select("category").distinct().orderBy("category").limit(MAX_CATEGORIES + 1).collect()]
-    if len(names) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    names = label_names(profile, "category")
     rows = MLUtils.convertVectorColumnsFromML(profile_vectors(profile, names).select("features"), "features")
     found = RowMatrix(rows).computeSVD(min(k, len(names)))
     vectors = found.V.toArray()

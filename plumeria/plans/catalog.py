@@ -25,6 +25,8 @@ from plumeria.operators import (
 )
 from plumeria.plans import backtest, conversation, daily, dashboard, forest, neural, streams, video
 from plumeria.plans.views import SocialTables
+from plumeria.session import scratch_folder
+from plumeria.sources import feather, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -414,6 +416,18 @@ def video_category_onehot(t):
     return profiles.video_categories(t.video(), t.season(), _split())
 
 
+@_query
+def user_category_matrix(t):
+    found = video.features(_video_tables(t), _split())
+    return profiles.as_matrix(found.profile, "user_id", tagging.label_names(found.vocabulary, "category"))
+
+
+@_query
+def video_category_matrix(t):
+    one_hot = profiles.video_categories(t.video(), t.season(), _split()).withColumn("weight", F.lit(1))
+    return profiles.as_matrix(one_hot, "video_id", tagging.label_names(t.season(), "category"))
+
+
 @_query
 def watch_ratio_by_category(t):
     return profiles.watch_ratio(t.post_feed(), profiles.video_categories(t.video(), t.season(), _split()))
@@ -552,6 +566,24 @@ def hybrid_daily_metrics(t):
     return conversation.hybrid_metrics(t.conversation_like(), t.conversation(), ts(LIKE_DAY), iterations=5)
 
 
+@_query
+def daily_video_metrics(t):
+    settings = daily.DailySettings(
+        as_of="2001-11-01",
+        forest={"trees": 10, "max_depth": 5},
+        network={"rank": 8, "als_iterations": 2, "epochs": 5},
+    )
+    return daily.video_metrics(_video_tables(t), settings)
+
+
+@_query
+def daily_conversation_metrics(t):
+    settings = daily.DailySettings(
+        as_of="2024-01-30", als={"rank": 8, "iterations": 2}, hybrid={"rank": 4, "iterations": 2}
+    )
+    return daily.conversation_metrics(t.conversation_like(), t.conversation(), settings)
+
+
 # Metrics on given scores
 
 
@@ -656,6 +688,40 @@ def incremental_merge(t):
     )
 
 
+@_query
+def incremental_extract(t):
+    """Snapshot the early likes, extract twice, and return the snapshot."""
+    root, delta = scratch_folder(t.spark, "snapshot"), scratch_folder(t.spark, "delta")
+    tables.write_snapshot(t.conversation_like().where("liked_at < TIMESTAMP_NTZ '2024-01-20'"), root, "conversation_like")
+    for _ in range(2):
+        tables.extract_new(t.spark, lambda _: t.conversation_like(), "conversation_like", root, delta, "activity_id")
+    return t.spark.read.parquet(tables.snapshot_path(root, "conversation_like"))
+
+
+@_query
+def feather_snapshot(t):
+    folder = scratch_folder(t.spark, "feather")
+    feather.write_feather(t.vote(), folder)
+    return feather.read_feather(t.spark, folder)
+
+
+@_query
+def metric_csv_clean(t):
+    folder = scratch_folder(t.spark, "csv")
+    tables.write_csv(series.combine_metrics([_text_metrics(t, m) for m in MODELS]), folder)
+    return tables.read_metrics_csv(t.spark, folder, dirty=True)
+
+
+@_query
+def metric_table_upsert(t):
+    """Two upserts of the same batch into a stored table partitioned by date."""
+    folder = scratch_folder(t.spark, "metrics")
+    stored, batch = _metric_batch(t)
+    for rows in (stored, batch, batch):
+        tables.upsert_metrics(t.spark, folder, rows)
+    return t.spark.read.parquet(folder).select(*stored.columns)
+
+
 def _account_batch(t: SocialTables) -> DataFrame:
     """Changed rows of known accounts, and accounts of suppliers as new ones."""
     known = t.account().where(F.col("role") == "admin").withColumn("role", F.lit("user_for_videos"))

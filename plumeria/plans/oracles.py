@@ -303,6 +303,7 @@ ORACLES["metric_union_clean"] = sql(
     f"""SELECT CAST(dt AS VARCHAR) AS dt, {", ".join(METRIC_COLUMNS)}, model FROM model_metrics
     WHERE {_CHOSEN} AND day(dt) % 10 <> 3"""
 )
+ORACLES["metric_csv_clean"] = ORACLES["metric_union_clean"]
 ORACLES["metric_null_for_nan"] = sql(
     """SELECT CAST(dt AS VARCHAR) AS dt, model, CASE WHEN day(dt) % 5 <> 0 THEN recall END AS recall
     FROM model_metrics"""
@@ -323,6 +324,7 @@ def _upsert(first: str, second: str) -> str:
 
 
 ORACLES["metric_upsert"] = _upsert("batch", "stored")
+ORACLES["metric_table_upsert"] = ORACLES["metric_upsert"]
 ORACLES["metric_insert_only"] = _upsert("stored", "batch")
 ORACLES["model_ratings"] = sql(
     """SELECT model, printf('%.2f', avg(rating)) AS rating FROM model_feedback
@@ -472,6 +474,17 @@ ORACLES["trailing_window_upvotes"] = sql(
 ORACLES["user_category_profile"] = sql("SELECT * FROM profile", *_profile())
 ORACLES["user_category_profile_all_votes"] = sql("SELECT * FROM profile", *_profile(until=False))
 ORACLES["video_category_onehot"] = sql("SELECT * FROM cat", *_profile())
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def _matrix(key: str, value: str, source: str) -> str:
+    return f"SELECT {key}, " + ", ".join(
+        f"""CAST(coalesce(sum({value}) FILTER (category = '{n}'), 0) AS BIGINT) AS "{n}" """ for n in _REGIONS
+    ) + f" FROM {source} GROUP BY {key}"
+
+
+ORACLES["user_category_matrix"] = sql(_matrix("user_id", "weight", "profile"), *_profile())
+ORACLES["video_category_matrix"] = sql(_matrix("video_id", "1", "cat"), *_profile())
 ORACLES["watch_ratio_by_category"] = sql(
     f"SELECT user_id, category, {r('ratio')} AS ratio FROM watched", *_profile(), _WATCH
 )
@@ -739,6 +752,12 @@ ORACLES["incremental_merge"] = sql(
       QUALIFY row_number() OVER (PARTITION BY id
         ORDER BY created_at DESC, video_id DESC, voter_id DESC, status DESC) = 1)""",
 )
+ORACLES["incremental_extract"] = sql(
+    f"""SELECT activity_id, like_giver_id, conversation_id, {stamp("liked_at")} AS liked_at FROM conversation_like"""
+)
+ORACLES["feather_snapshot"] = sql(
+    f"SELECT id, video_id, voter_id, status, {stamp('created_at')} AS created_at FROM vote"
+)
 ORACLES["user_upsert"] = sql(
     """SELECT user_id, username, email, CASE WHEN role = 'admin' THEN 'user_for_videos' ELSE role END AS role FROM account
     UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'seller' || CAST(s_suppkey AS VARCHAR),

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 from plumeria.plans.views import SocialTables
-from plumeria.session import checkpoint_dir
+from plumeria.session import scratch_folder
 from plumeria.streaming.engagement import (
     conversation_rate_stream,
     drain,
@@ -27,13 +25,9 @@ class StreamedTables(SocialTables):
         return reader.parquet(self.folder)
 
 
-def _fresh_folder(tables: SocialTables) -> str:
-    return f"{checkpoint_dir(tables.spark)}/stream-{uuid.uuid4().hex}"
-
-
 def final_like_rates(tables: SocialTables) -> DataFrame:
     """Rates of the dates that are final once everything available has been read."""
-    folder = _fresh_folder(tables)
+    folder = scratch_folder(tables.spark, "stream")
     streams = StreamedTables(tables.spark, tables.folder)
     rates = conversation_rate_stream(streams.rs_daily_conversation_for_user(), streams.conversation_like())
     drain_to_parquet(rates, f"{folder}/rates", f"{folder}/state").awaitTermination()
@@ -42,7 +36,7 @@ def final_like_rates(tables: SocialTables) -> DataFrame:
 
 def final_video_rates(tables: SocialTables) -> DataFrame:
     """Rates of the dates that are final, from recommendations and votes landed as files."""
-    folder = _fresh_folder(tables)
+    folder = scratch_folder(tables.spark, "stream")
     recs, votes = tables.rs_daily_video_for_user(), tables.vote()
     recs.write.parquet(f"{folder}/recs")
     votes.write.parquet(f"{folder}/votes")
@@ -56,7 +50,7 @@ def final_video_rates(tables: SocialTables) -> DataFrame:
 
 def merged_likes(tables: SocialTables) -> DataFrame:
     """Likes as a snapshot kept up to date by a stream."""
-    folder = _fresh_folder(tables)
+    folder = scratch_folder(tables.spark, "stream")
     streams = StreamedTables(tables.spark, tables.folder)
     likes = streams.conversation_like()
     write = merge_into(tables.spark, f"{folder}/likes", ["activity_id"], "liked_at")

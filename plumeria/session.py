@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder name next to the checkpoints, where every executor can write."""
+    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so lost executors cost no replay."""
     checkpoint_dir(df.sparkSession)
