@@ -52,7 +52,10 @@ def _query(build: Callable[[SocialTables], DataFrame]) -> Callable[[SocialTables
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """Dates and times as text, floats rounded, so results compare across engines."""
+    """Dates and times as text, floats at six decimals, so results compare across engines.
+
+    Halves, as seen at twelve decimals, go up: engines differ in how they round them.
+    """
     cells = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
@@ -61,7 +64,7 @@ def portable(df: DataFrame) -> DataFrame:
         elif kind == "date":
             cells.append(c.cast("string").alias(name))
         elif kind in ("double", "float"):
-            cells.append((F.round(F.round(c.cast("double"), 12), 6) + F.lit(0.0)).alias(name))
+            cells.append((F.round(F.round(c.cast("double"), 12) + 1e-10, 6) + F.lit(0.0)).alias(name))
         else:
             cells.append(c.alias(name))
     return df.select(*cells)

@@ -55,10 +55,10 @@ conversation AS (
         FROM events GROUP BY 1) e
   JOIN region ON r_regionkey = e.id % 5),
 model_metrics AS (
-  SELECT CAST(ts AS DATE) AS dt, event_type AS model, round(round(avg(value) / 500, 12), 6) AS roc_auc_score,
-    round(round(avg(value) / 600, 12), 6) AS accuracy, round(round(avg(value) / 700, 12), 6) AS precision_score,
-    round(round(avg(value) / 800, 12), 6) AS recall, round(round(avg(value) / 900, 12), 6) AS f1_score,
-    round(round(min(value) / 500, 12), 6) AS hit_ratio_k, round(round(max(value) / 500, 12), 6) AS ndcg_k
+  SELECT CAST(ts AS DATE) AS dt, event_type AS model, round(round(avg(value) / 500, 12) + 1e-10, 6) AS roc_auc_score,
+    round(round(avg(value) / 600, 12) + 1e-10, 6) AS accuracy, round(round(avg(value) / 700, 12) + 1e-10, 6) AS precision_score,
+    round(round(avg(value) / 800, 12) + 1e-10, 6) AS recall, round(round(avg(value) / 900, 12) + 1e-10, 6) AS f1_score,
+    round(round(min(value) / 500, 12) + 1e-10, 6) AS hit_ratio_k, round(round(max(value) / 500, 12) + 1e-10, 6) AS ndcg_k
   FROM events GROUP BY CAST(ts AS DATE), event_type),
 rate_log AS (
   SELECT CAST(ts AS DATE) AS recommendation_date, ts AS dt, event_id % 7 AS liked_conversations,
@@ -79,7 +79,7 @@ METRIC_COLUMNS = ["roc_auc_score", "accuracy", "precision_score", "recall", "f1_
 
 def r(expression: str) -> str:
     """The rounding every floating-point result goes through."""
-    return f"round(round({expression}, 12), 6) + 0.0"
+    return f"round(round({expression}, 12) + 1e-10, 6) + 0.0"
 
 
 def rounded(columns: list[str], prefix: str = "") -> str:
@@ -183,7 +183,7 @@ ORACLES["latest_rate_per_date"] = sql(
     LATEST_RATE,
 )
 ORACLES["rate_trailing_averages"] = sql(
-    """SELECT round(round(a3, 12), 6) AS avg_3, round(round(a7, 12), 6) AS avg_7, round(round(a31, 12), 6) AS avg_31,
+    """SELECT round(round(a3, 12) + 1e-10, 6) AS avg_3, round(round(a7, 12) + 1e-10, 6) AS avg_7, round(round(a31, 12) + 1e-10, 6) AS avg_31,
       printf('%.2f%%', 100 * a3) AS avg_3_text, printf('%.2f%%', 100 * a7) AS avg_7_text,
       printf('%.2f%%', 100 * a31) AS avg_31_text
     FROM (SELECT avg(like_percentage) FILTER (age <= 3) AS a3, avg(like_percentage) FILTER (age <= 7) AS a7,
@@ -617,7 +617,7 @@ def _item_parts(day: str) -> list[str]:
 def _item_metrics(day: str) -> tuple[str, list[str]]:
     ctes = [
         *_item_parts(day),
-        f"""pairs AS (SELECT {r("coalesce(s, 0)")} AS s, CASE WHEN t.u IS NULL THEN 0 ELSE 1 END AS y
+        """pairs AS (SELECT round(round(coalesce(s, 0), 12), 6) AS s, CASE WHEN t.u IS NULL THEN 0 ELSE 1 END AS y
           FROM (SELECT DISTINCT u FROM test WHERE u IN (SELECT u FROM train)) uu
           CROSS JOIN (SELECT DISTINCT c FROM test WHERE c IN (SELECT c FROM train)) cc
           LEFT JOIN score ON score.u = uu.u AND score.c = cc.c LEFT JOIN test t ON t.u = uu.u AND t.c = cc.c)""",
@@ -660,7 +660,7 @@ ORACLES["itemcf_backtest"] = sql("\nUNION ALL\n".join(_item_cycle(f"2024-01-{27
 # Metrics on given scores
 
 _SCORED = [
-    f"scored AS (SELECT {r('value / 500')} AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM events)",
+    "scored AS (SELECT round(round(value / 500, 12), 6) AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM events)",
     "hist AS (SELECT s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM scored GROUP BY s)",
 ]
 ORACLES["auc_rank_sum"] = sql(

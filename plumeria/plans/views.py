@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 
 def _six(value: Column) -> Column:
-    """Six decimals, reached through twelve so that halves do not hang on summation order."""
-    return F.round(F.round(value, 12), 6)
+    """Six decimals; halves, as seen at twelve decimals, go up."""
+    return F.round(F.round(value, 12) + 1e-10, 6)
 
 
 class SocialTables:
