@@ -17,6 +17,13 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], when: str) -> DataFrame:
     return newest.select(*keys, f"_row.{when}", *[f"_row.{c}" for c in rest]).select(*df.columns)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the largest by the remaining columns, so repeats settle the same way every time."""
+    rest = [c for c in df.columns if c not in keys]
+    kept = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+    return kept.select(*keys, *[f"_row.{c}" for c in rest]).select(*df.columns)
+
+
 def upsert(
     old: DataFrame,
     new: DataFrame,
@@ -52,14 +59,17 @@ def delete_keys(old: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFra
     return old.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def high_water_mark(existing: DataFrame, when: str):
-    """Newest time in the snapshot. One value, read eagerly so that the filter
+def high_water_mark(existing: DataFrame, when: str) -> str | None:
+    """Newest time in the snapshot, as text. One value, read eagerly so that the filter
     built from it is a literal the source can apply."""
-    return existing.agg(F.max(when)).first()[0]
+    return existing.agg(F.max(when).cast("string")).first()[0]
 
 
-def new_rows(source: DataFrame, when: str, mark) -> DataFrame:
-    return source if mark is None else source.where(F.col(when) > F.lit(mark))
+def new_rows(source: DataFrame, when: str, mark: str | None) -> DataFrame:
+    """Rows after the mark; the mark takes the column's own type, so the column stays bare."""
+    if mark is None:
+        return source
+    return source.where(F.col(when) > F.lit(mark).cast(source.schema[when].dataType))
 
 
 def merge_delta(existing: DataFrame, delta: DataFrame, keys: Sequence[str], when: str) -> DataFrame:

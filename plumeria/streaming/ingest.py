@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from plumeria.operators.keyed import dedupe_latest, merge_delta
 from plumeria.session import cut_lineage
+from plumeria.sources.tables import read_if_present
 
 
 def merge_into(
@@ -19,10 +19,8 @@ def merge_into(
     def write(batch: DataFrame, _epoch: int) -> None:
         if batch.isEmpty():
             return
-        try:
-            merged = merge_delta(spark.read.parquet(path), batch, keys, when)
-        except AnalysisException:
-            merged = dedupe_latest(batch, keys, when)
+        stored = read_if_present(lambda: spark.read.parquet(path))
+        merged = dedupe_latest(batch, keys, when) if stored is None else merge_delta(stored, batch, keys, when)
         cut_lineage(merged).write.mode("overwrite").parquet(path)
 
     return write

@@ -6,6 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.feather as pf
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from plumeria.operators import keyed, quality, series
@@ -101,6 +102,22 @@ def test_upsert_metrics_twice_is_once(spark, tmp_path):
     assert rows_of(spark.read.parquet(path).select("dt", "model", "recall"))[0] == (day1, "a", 1.0)
 
 
+def test_a_wrong_batch_does_not_replace_the_table(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    tables.upsert_metrics(spark, path, metric_rows(spark, [("2024-01-01", "a", 1.0)]))
+    wrong = metric_rows(spark, [("2024-01-01", "a", 2.0)]).withColumn("extra", F.lit(1))
+    with pytest.raises(AnalysisException):
+        tables.upsert_metrics(spark, path, wrong)
+    assert spark.read.parquet(path).first()["recall"] == 1.0
+
+
+def test_repeated_keys_in_a_batch_settle(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = metric_rows(spark, [("2024-01-01", "a", 1.0), ("2024-01-01", "a", 3.0), ("2024-01-01", "a", 2.0)])
+    tables.upsert_metrics(spark, path, rows)
+    assert rows_of(spark.read.parquet(path).select("model", "recall")) == [("a", 3.0)]
+
+
 def test_partial_upsert_keeps_other_columns(spark):
     old = spark.createDataFrame([("1", "ann", "x"), ("2", "bob", None)], "user_id string, username string, email string")
     new = spark.createDataFrame([("9", "bob", "b"), ("3", "cy", "c")], old.schema)
