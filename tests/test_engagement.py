@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumeria.functions.dates import ts
@@ -59,6 +60,29 @@ def test_counts_equal_the_row_join(spark):
         assert got == want
 
 
+def test_a_busy_pair_does_not_multiply(spark):
+    """20,000 recommendations and 30,000 likes of one pair: a row join would make 600 million rows."""
+    start = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, seconds)")
+    one = F.lit(1).cast("bigint")
+
+    def moments(n, step):
+        return spark.range(n).withColumn("seconds", (F.col("id") * step % 864_000).cast("int"))
+
+    recs = moments(20_000, 911).select(
+        F.col("id").alias("recommendation_id"), one.alias("user_id"), one.alias("recommended_conversation_id"),
+        start.alias("created_at"),
+    )
+    likes = moments(30_000, 977).select(
+        F.col("id").alias("activity_id"), one.alias("like_giver_id"), one.alias("conversation_id"), start.alias("liked_at")
+    )
+    rec_at = np.arange(20_000) * 911 % 864_000
+    like_at = np.sort(np.arange(30_000) * 977 % 864_000)
+    inside = np.searchsorted(like_at, rec_at + 172_800, "right") - np.searchsorted(like_at, rec_at, "left")
+    rows = conversation_like_rate(recs, likes).collect()
+    assert sum(r["liked_conversations"] for r in rows) == inside.sum()
+    assert sum(r["number_recommended"] for r in rows) == 20_000 * 30_000
+
+
 def test_first_vote_counts_once(spark):
     recs = spark.createDataFrame(
         [(1, 1, 5, at(0)), (2, 2, 5, at(0)), (3, 1, 5, at(-100))],
