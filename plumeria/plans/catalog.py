@@ -569,6 +569,44 @@ def hybrid_daily_metrics(t):
     return conversation.hybrid_metrics(t.conversation_like(), t.conversation(), ts(LIKE_DAY), iterations=5)
 
 
+# What must hold of fitted models whatever the fit
+
+
+@_query
+def svd_profile_norms(t):
+    """With as many components as categories the projection keeps every user's squared length."""
+    factors = projection.svd_factors(video.features(_video_tables(t), _split()).profile, 50)
+    return factors.groupBy("user_id").agg(F.sum(F.col("value") * F.col("value")).alias("norm2"))
+
+
+def _list_sizes(topk: DataFrame) -> DataFrame:
+    return topk.groupBy("user_id").agg(F.count("*").alias("items"), F.max("rank").alias("last_rank"))
+
+
+@_query
+def als_list_sizes(t):
+    return _list_sizes(conversation.als_topk(t.conversation_like(), ts(LIKE_DAY), rank=5, iterations=2))
+
+
+@_query
+def hybrid_list_sizes(t):
+    likes, tagged = t.conversation_like(), t.conversation()
+    return _list_sizes(conversation.hybrid_topk(likes, tagged, ts(LIKE_DAY), rank=4, iterations=1))
+
+
+@_query
+def rf_list_sizes(t):
+    return _list_sizes(forest.forest_topk(_video_tables(t), _split(), trees=5, max_depth=4))
+
+
+@_query
+def ncf_support(t):
+    rows = neural.predicted_categories(
+        _video_tables(t), ts(NEURAL_SPLIT), ts(NEURAL_END), rank=4, als_iterations=1, epochs=3
+    )
+    return rows.groupBy("dt", "actual").agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"))
+
+
 @_query
 def daily_video_metrics(t):
     settings = daily.DailySettings(

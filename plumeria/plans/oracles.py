@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from plumeria.plans.catalog import LIKE_DAY, ORDER_AS_OF, VIDEO_END, VIDEO_SPLIT, WIDE_LOOKBACK
+from plumeria.plans.catalog import (
+    LIKE_DAY,
+    NEURAL_END,
+    NEURAL_SPLIT,
+    ORDER_AS_OF,
+    VIDEO_END,
+    VIDEO_SPLIT,
+    WIDE_LOOKBACK,
+)
 
 VIEWS = """
 season AS (
@@ -491,17 +499,18 @@ ORACLES["watch_ratio_by_category"] = sql(
 ORACLES["watch_weighted_profile"] = sql(
     f"SELECT user_id, category, {r('weight')} AS weight FROM blended", *_profile(), _WATCH, _BLENDED
 )
+RECENCY_PARTS = f"""parts AS (SELECT user_id, category, sum(w) AS weight FROM (
+    SELECT DISTINCT user_id, name AS category, 0.4::DOUBLE AS w FROM user_interest
+    WHERE updated_at <= TIMESTAMP '{VIDEO_SPLIT}'
+    UNION ALL SELECT voter_id, category, 0.6::DOUBLE * count(DISTINCT vote.id)
+    FROM vote JOIN video ON video.id = video_id JOIN season ON season.id = season_id
+    WHERE vote.created_at > TIMESTAMP '{VIDEO_SPLIT}' - INTERVAL 28 DAY
+      AND vote.created_at <= TIMESTAMP '{VIDEO_SPLIT}'
+    GROUP BY voter_id, category) GROUP BY ALL)"""
 ORACLES["rf_user_profile"] = sql(
     f"""SELECT user_id, category, {r("weight")} AS weight FROM parts
     WHERE user_id IN (SELECT user_id FROM parts GROUP BY user_id HAVING sum(weight) > 0)""",
-    f"""parts AS (SELECT user_id, category, sum(w) AS weight FROM (
-        SELECT DISTINCT user_id, name AS category, 0.4::DOUBLE AS w FROM user_interest
-        WHERE updated_at <= TIMESTAMP '{VIDEO_SPLIT}'
-        UNION ALL SELECT voter_id, category, 0.6::DOUBLE * count(DISTINCT vote.id)
-        FROM vote JOIN video ON video.id = video_id JOIN season ON season.id = season_id
-        WHERE vote.created_at > TIMESTAMP '{VIDEO_SPLIT}' - INTERVAL 28 DAY
-          AND vote.created_at <= TIMESTAMP '{VIDEO_SPLIT}'
-        GROUP BY voter_id, category) GROUP BY ALL)""",
+    RECENCY_PARTS,
 )
 ORACLES["user_like_category_matrix"] = sql(
     f"""SELECT like_giver_id AS user_id, categories AS category, count(*) AS weight
@@ -657,6 +666,38 @@ def _item_cycle(day: str) -> str:
 ORACLES["itemcf_backtest"] = sql("\nUNION ALL\n".join(_item_cycle(f"2024-01-{27 + i}") for i in range(3)))
 
 
+# What must hold of fitted models whatever the fit
+
+ORACLES["svd_profile_norms"] = sql(
+    f"SELECT user_id, {r('sum(weight * weight)')} AS norm2 FROM profile GROUP BY user_id", *_profile()
+)
+ORACLES["als_list_sizes"] = sql(
+    """SELECT user_id, items, CAST(items AS INTEGER) AS last_rank FROM (
+      SELECT u AS user_id, least(10, (SELECT count(DISTINCT c) FROM train) - count(*)) AS items
+      FROM train WHERE u IN (SELECT u FROM test) GROUP BY u) WHERE items > 0""",
+    *_item_parts(LIKE_DAY),
+)
+ORACLES["hybrid_list_sizes"] = sql(
+    f"""SELECT DISTINCT u AS user_id, items, CAST(items AS INTEGER) AS last_rank
+    FROM train, (SELECT least(10, count(DISTINCT c)) AS items FROM train)
+    WHERE u IN (SELECT like_giver_id FROM conversation_like WHERE liked_at >= TIMESTAMP '{LIKE_DAY}')""",
+    *_item_parts(LIKE_DAY),
+)
+ORACLES["rf_list_sizes"] = sql(
+    """SELECT user_id, items, CAST(items AS INTEGER) AS last_rank
+    FROM (SELECT DISTINCT user_id FROM parts),
+      (SELECT least(20, count(*)) AS items FROM video JOIN season ON season.id = season_id)""",
+    RECENCY_PARTS,
+)
+ORACLES["ncf_support"] = sql(
+    f"""SELECT CAST(CAST(updated_at AS DATE) AS VARCHAR) AS dt, category AS actual, count(*) AS rows,
+      count(DISTINCT i.user_id) AS users
+    FROM user_interest i JOIN app_user u ON u.id = i.user_id JOIN vote o ON o.voter_id = i.user_id
+      JOIN video v ON v.id = o.video_id JOIN season s ON s.id = v.season_id
+    WHERE updated_at > TIMESTAMP '{NEURAL_SPLIT}' AND updated_at <= TIMESTAMP '{NEURAL_END}' GROUP BY 1, 2"""
+)
+
+
 # Metrics on given scores
 
 _SCORED = [
