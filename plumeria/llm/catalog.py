@@ -6,15 +6,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumeria.llm import mixing
+from plumeria.llm import bloom_lm, capdedup, chat, decontaminate, html_text, jaccard, langid, mixing, pii, toxicity
 from plumeria.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.texts(table(spark, folder, "pages"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return capdedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_lm.scores(table(spark, folder, "documents"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digests(table(spark, folder, "conversations"))
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(table(spark, folder, "documents"))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predictions(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_mixing,)}
+    found = (
+        op1_html_extraction,
+        op2_benchmark_decontamination,
+        op3_embedding_near_dedup,
+        op4_lm_scoring,
+        op5_mixing,
+        op6_ngram_jaccard_join,
+        op7_toxicity,
+        op8_chat_formatting,
+        op9_pii,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in found}

@@ -2,4 +2,22 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = """replace(replace(replace(replace(replace({0}, chr(92), chr(92) || '0'),
+  '<s>', chr(92) || '1s>'), '</s>', chr(92) || '1/s>'), '[INST]', chr(92) || '2INST]'), '[/INST]', chr(92) || '2/INST]')"""
+
+CHAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(9 + length(replace({_ESCAPED.format('role')}, chr(10), chr(92) || '3')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_chat_formatting": CHAT,
+}
