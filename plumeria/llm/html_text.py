@@ -390,8 +390,8 @@ def render(root: Node) -> str:
         elif tag == "select":
             options, stack = [], [node]
             while stack:
-                for c in reversed([c for c in (x := stack.pop()).children if isinstance(c, Node)]):
-                    stack.append(c)
+                x = stack.pop()
+                stack += [c for c in reversed(x.children) if isinstance(c, Node)]
                 if x.tag == "option":
                     options.append(x)
             shown = [o for o in options if "selected" in o.attributes] or options[:1]
