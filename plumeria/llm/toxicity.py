@@ -6,8 +6,8 @@ learning rate of its own; L1 keeps a weight at zero until the evidence exceeds i
 is left is a short list of weights, at most one for each place: that bounds the broadcast.
 
 Fitting reads a sample of the labelled rows, `sample_rows` in expectation, chosen by a hash
-of the id; the shards of the sample are fitted in parallel and their weights averaged. Scores
-read every word of every text.
+of the id. Their features are made in parallel; the descent itself is one task over them, in
+the order of that hash. Scores read every word of every text.
 
 A null or empty text has no features and gets the intercept's score, as has a model without
 labelled rows (score 0.25). Repeated labels of a document count once, as the highest; null
@@ -25,19 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumeria.llm.frames import by_chunk, id_remainder
-from plumeria.llm.words import chunks, mix, word_hashes
-from plumeria.session import cut_lineage
+from plumeria.llm.frames import bounded_broadcast, by_chunk, id_remainder
+from plumeria.llm.words import mix, word_hashes
 
 #: Fixed values of the contract.
 FOLDS, HELD_OUT = 5, 0
 
 BITS = 18
 PLACES = 1 << BITS
-SAMPLE_ROWS = 24_000
-SHARDS = 4
+SAMPLE_ROWS = 16_000
 EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
 _PAIR, _SKIP, _ORDER = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47), np.uint64(0xD1342543DE82EF95)
 
 
@@ -88,19 +86,21 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at]) - before) / ALPHA * w
 
 
-def _fit_shard(table: pa.Table) -> pa.Table:
-    """Learns from one shard, in the order of a hash of the ids, several times over."""
-    model, examples = Ftrl(), []
-    table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])
-    for batch in table.to_batches():
-        for part in chunks(batch, "text"):
-            rows, places = distinct(*features(part.column("text")))
-            ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            for k, label in enumerate(part.column("toxic").to_pylist()):
-                examples.append((np.append(places[ends[k] : ends[k + 1]], PLACES).astype(np.int32), label))
+def _examples(part: pa.RecordBatch) -> pa.RecordBatch:
+    rows, places = distinct(*features(part.column("text")))
+    ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
+    packed = pa.array([places[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([part.column("_order"), part.column("toxic"), packed], ["_order", "toxic", "places"])
+
+
+def _learn(table: pa.Table) -> pa.Table:
+    """Learns from all examples, in the order of a hash of the ids, several times over."""
+    model = Ftrl()
+    table = table.sort_by([("_order", "ascending"), ("places", "ascending")])
+    labels, packed = table.column("toxic").to_pylist(), [x for c in table.column("places").chunks for x in c]
     for _ in range(EPOCHS):
-        for places, label in examples:
-            model.learn(places, label)
+        for label, places in zip(labels, packed):
+            model.learn(np.append(np.frombuffer(places.as_buffer(), dtype=np.int32), PLACES), label)
     w = model.weights(np.arange(PLACES + 1))
     kept = np.flatnonzero(w)
     return pa.table({"place": pa.array(kept, pa.int64()), "weight": pa.array(w[kept], pa.float64())})
@@ -114,10 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> W
     share = min(1.0, sample_rows / max(1, total[0]))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 40))
     known = known.withColumn("_order", draw).where(F.col("_order") < F.lit(int(share * (1 << 40))))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).withColumn("_shard", F.col("_order") % SHARDS)
-    shards = rows.select("_shard", "_order", "doc_id", "text", "toxic").groupBy("_shard").applyInArrow(_fit_shard, "place long, weight double")
-    mean = cut_lineage(shards).groupBy("place").agg((F.sum("weight") / SHARDS).alias("weight")).toArrow()
-    places, values = (np.asarray(mean.column(c)) for c in ("place", "weight"))
+    known = bounded_broadcast(known, int(share * total[0]))
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("_order", "toxic", "text")
+    examples = rows.mapInArrow(by_chunk(_examples), "_order long, toxic int, places binary")
+    # One task, as each step needs the one before; its rows are bounded by the sample.
+    learned = examples.groupBy(F.lit(0).alias("_all")).applyInArrow(_learn, "place long, weight double").toArrow()
+    places, values = (np.asarray(learned.column(c)) for c in ("place", "weight"))
     base = ((total[1] or 0) + 0.5) / (total[0] + 2)
     intercept = values[places == PLACES].sum() if (places == PLACES).any() else np.log(base / (1 - base))
     return Weights(places[places < PLACES], values[places < PLACES].astype(np.float32), float(intercept))
