@@ -36,7 +36,7 @@ from plumeria.session import cut_lineage
 
 THRESHOLD = 0.98
 #: Filters of a vector, on average; unrelated vectors of a label that a filter holds.
-FILTERS = 24
+FILTERS = 32
 LOAD = 2.0
 LEAST_FILTERS = 1 << 14
 MOST_CODEWORDS = 1 << 11
