@@ -359,12 +359,18 @@ def _count_links(found: DataFrame, classes: DataFrame, sets: DataFrame) -> DataF
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (a set's fingerprint, null if empty) and n_links for every row."""
+def groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """Of every row: doc_id, _text (a hash of its text), n, node (its class), component, component_id, and n_links if asked for.
+
+    `component` tells components apart even where ids are null or repeated; it and `node` are null for empty sets.
+    """
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
-    described = cut_lineage(texts.mapInArrow(_describe(to_arrow_type(docs.schema["doc_id"].dataType)), f"doc_id {id_type}, _text long, node long, n long, common long, times long"))
+    described = texts.mapInArrow(
+        _describe(to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, _text long, node long, n long, common long, times long"
+    )
+    described = cut_lineage(described)
     rows = described.where(F.col("node").isNotNull()).select("doc_id", "_text", "node", "n")
     classes = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("_text").alias("_text"), F.count("*").alias("copies")
@@ -380,27 +386,56 @@ def jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     posted = texts.mapInArrow(_post(buckets, light, shared), "bucket long, nodes binary, sizes binary, counts binary, keys binary")
     lists = cut_lineage(posted.groupBy("bucket").applyInArrow(_lists, "key long, node long, n long"))
 
-    wanted = lists.select("node").distinct().join(classes.select("node", "_text"), "node").select("_text")
-    wanted = cut_lineage(wanted)
+    wanted = cut_lineage(lists.select("node").distinct().join(classes.select("node", "_text"), "node").select("_text"))
     wanted = bounded_broadcast(wanted, wanted.count())
     sets = texts.join(wanted, "_text", "left_semi").mapInArrow(by_chunk(_sets), "node long, shingles binary").dropDuplicates(["node"])
     sets = cut_lineage(sets)
 
-    found, links = _link(lists, sets)
+    found, _ = _link(lists, sets)
     per_class = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = per_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    per_class = per_class.join(least, "component").select("node", "component_id", "copies")
+    per_class = per_class.join(per_class.groupBy("component").agg(F.min("least_id").alias("component_id")), "component")
+    told = ["node", "component", "component_id"]
     if count_links:
         per_class = per_class.join(_count_links(found, classes, sets), "node", "left")
-        per_class = per_class.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    filled = rows.where("n > 0").join(per_class.drop("copies"), "node")
-    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("node", F.lit(None).cast("long"))
-    if count_links:
-        empty = empty.withColumn("n_links", F.lit(0).cast("long"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_id"), *(["n_links"] if count_links else [])]
+        per_class = per_class.withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        told.append("n_links")
+    filled = rows.where("n > 0").join(per_class.select(*told), "node")
+    none = F.lit(None).cast("long")
+    empty = rows.where("n = 0").withColumns({"node": none, "component": none, "component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    columns = ["doc_id", "_text", "n", *told]
     return filled.select(*columns).unionAll(empty.select(*columns))
 
 
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (a set's fingerprint, null if empty) and n_links for every row."""
+    found = groups(docs, count_links=True)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those that are linked, directly or not, to one with a smaller id; one row of each component stays.
+
+    Rows without words all stay.
+    """
+    found = cut_lineage(groups(docs).where(F.col("component").isNotNull()))
+    # Of rows with the least id, those of one text: ids may be repeated or null.
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = found.where(least).groupBy("component").agg(F.min("_text").alias("_kept"))
+    stays = found.join(kept, "component").withColumn("_stays", least & (F.col("_text") == F.col("_kept")))
+    goes = cut_lineage(stays.where(~F.col("_stays")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone")).distinct())
+    # Rows travel as one column, so that their own columns may have any name.
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_text"))
+    goes = bounded_broadcast(goes, goes.count())
+    left = keyed.join(goes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_gone")), "left_anti")
+    repeated = cut_lineage(stays.where("_stays").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_same")).count().where("count > 1").drop("count"))
+    n = repeated.count()
+    if n:
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same"))
+        repeated = bounded_broadcast(repeated, n)
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text"]))
+    return left.select("_row.*")
+
+
 def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Shingles of very many classes and their counts, sorted, as many as may be broadcast; and the pairs that shared shingles make."""
     counted = cut_lineage(described.where(F.col("common").isNotNull()).groupBy("common").agg(F.sum("times").alias("times")))

@@ -39,9 +39,8 @@ BLOCKS_PER_SHARD = 8
 
 @dataclass(frozen=True)
 class Mix:
-    """sized: documents with _size and _block. plan: source, block, source_size, target, draws (shard, pass)."""
+    """plan: source, _block, source_size, target, draws (shard, pass); and how many blocks and shards there are."""
 
-    sized: DataFrame
     plan: DataFrame
     blocks: int
     shards: int
@@ -163,7 +162,7 @@ def plan_mix(docs: DataFrame, seed: int = 1, shard_words: int = SHARD_WORDS) ->
     blocks = max(BLOCKS, BLOCKS_PER_SHARD * shards)
     targets = source_targets(per_source)
 
-    sized = with_blocks(docs, blocks, seed)
+    sized = with_blocks(docs.select("doc_id", "text", "source"), blocks, seed)
     per_block = cut_lineage(sized.groupBy("source", "_block").agg(F.sum("_size").alias("words")))
     placed = per_block.join(targets, per_block["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -192,7 +191,7 @@ def plan_mix(docs: DataFrame, seed: int = 1, shard_words: int = SHARD_WORDS) ->
     plan = placed.join(drawn, ["_rank", "_block"], "left").select(
         "source", "_block", "source_size", "target", F.coalesce("draws", F.array().cast("array<struct<shard:bigint,pass:bigint>>")).alias("draws")
     )
-    return Mix(sized, cut_lineage(plan), blocks, shards)
+    return Mix(cut_lineage(plan), blocks, shards)
 
 
 def with_blocks(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
@@ -205,22 +204,25 @@ def with_blocks(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
 def taken(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken: what the mix takes of every document."""
     mix = plan_mix(docs, seed)
-    sized = mix.sized.select("doc_id", "source", "_size", "_block")
+    sized = with_blocks(docs.select("doc_id", "text", "source"), mix.blocks, seed).select("doc_id", "source", "_size", "_block")
     plan = mix.plan.select(F.col("source").alias("_source"), F.col("_block").alias("_plan_block"), "source_size", "target", F.size("draws").alias("_n"))
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["_source"]) & (sized["_block"] == plan["_plan_block"]))
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_plan_block")))
     return joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_n")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The mix itself: each document as often as its block is drawn, with shard, pass and position key.
+    """The mix itself: each document as often as its block is drawn, with shard, pass and position.
 
     Rows of one shard are written together, in the order of `position`, a seeded shuffle.
+    Columns that already have one of the three names are replaced.
     """
     mix = plan_mix(docs, seed)
+    docs = docs.drop("shard", "pass", "position")
+    # Rows travel as one column, so that their own columns may have any name.
+    sized = with_blocks(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"), mix.blocks, seed)
     plan = mix.plan.where(F.size("draws") > 0).select(F.col("source").alias("_source"), F.col("_block").alias("_plan_block"), "draws")
     plan = bounded_broadcast(plan, plan.count(), 1 << 18)
-    joined = mix.sized.join(plan, mix.sized["source"].eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_plan_block")))
-    rows = joined.select(*[mix.sized[c] for c in docs.columns], F.explode("draws").alias("_draw"))
-    rows = rows.select(*docs.columns, F.col("_draw.shard").alias("shard"), F.col("_draw.pass").alias("pass"))
-    rows = rows.withColumn("position", F.xxhash64(F.lit(seed), F.lit("position"), "shard", "pass", "doc_id", "text"))
-    return rows.repartition(mix.shards, "shard").sortWithinPartitions("shard", "position", "doc_id")
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_plan_block")))
+    rows = joined.select("_row", F.explode("draws").alias("_draw")).select("_row.*", "_draw.shard", "_draw.pass")
+    position = F.xxhash64(F.lit(seed), F.lit("position"), "shard", "pass", "doc_id", "text")
+    return rows.withColumn("position", position).repartition(mix.shards, "shard").sortWithinPartitions("shard", "position", "doc_id")
