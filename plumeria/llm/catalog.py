@@ -33,7 +33,7 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, folder, "documents"))
+    return jaccard.jaccard_components(table(spark, folder, "documents")).drop("class_id")
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,60 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+#: Lower-cased words of a text, and its 5-word shingles in order: the whole sequence if it is shorter.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+_SHINGLES = """CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
+
+#: Of `links` (a, b in both directions): everything that can be reached.
+_REACH = """reach(a, b) AS (SELECT {0}, {0} FROM {1} UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)"""
+
+JACCARD = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct({_SHINGLES}) AS s FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM members x JOIN members y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+{_REACH.format('doc_id', 'documents')}
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = sets.doc_id) AS component_id,
+  (SELECT count(*) FROM links WHERE links.a = sets.doc_id) AS n_links FROM sets
+"""
+
+EMBEDDINGS = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding])),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+{_REACH.format('vec_id', 'embeddings')},
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id
+"""
+
+LEAKS = f"""
+WITH d AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+places AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle, unnest(range(len(s))) AS p FROM d),
+bags AS (SELECT item_id, size, shingle, count(*) AS c FROM (SELECT item_id, len(s) AS size, unnest(s) AS shingle FROM i) GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, n, size, least(n, size) AS own, p, shingle, c FROM places JOIN bags USING (shingle)),
+windows AS (SELECT DISTINCT doc_id, item_id, size, own, unnest(range(greatest(0, p - own + 1), least(p, n - own) + 1)) AS start FROM shared),
+counted AS (
+  SELECT w.doc_id, w.item_id, w.size, w.own, w.start, least(count(*), any_value(s.c)) AS m
+  FROM windows w JOIN shared s ON s.doc_id = w.doc_id AND s.item_id = w.item_id AND s.p BETWEEN w.start AND w.start + w.own - 1
+  GROUP BY w.doc_id, w.item_id, w.size, w.own, w.start, s.shingle),
+judged AS (SELECT doc_id, item_id, start, size + own AS both_sizes, sum(m) AS m FROM counted GROUP BY ALL)
+SELECT doc_id, item_id, CAST(m AS DOUBLE) / CAST(both_sizes - m AS DOUBLE) AS similarity, start
+FROM judged WHERE 4 * m >= 3 * (both_sizes - m)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(m AS DOUBLE) / CAST(both_sizes - m AS DOUBLE) DESC, start) = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": LEAKS,
+    "op3_embedding_near_dedup": EMBEDDINGS,
+    "op6_ngram_jaccard_join": JACCARD,
     "op8_chat_formatting": CHAT,
 }
