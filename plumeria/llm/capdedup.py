@@ -9,8 +9,9 @@ it. Vectors that share a filter, and label and dimension, are compared by cosine
 precision.
 
 The number of filters grows with the number of vectors, so a filter holds about as many
-unrelated vectors at any size; the threshold gives a vector `FILTERS` of them on average.
-Close vectors miss each other only if they share none (recall is measured in the tests).
+unrelated vectors at any size; the threshold gives a vector `FILTERS` of them on average in
+each of `CODES` independent codes. Close vectors miss each other only if they share none in
+any code (recall is measured in the tests).
 
 Equal vectors of one label form a class and are compared as one. A pair is judged in the
 first filter that both share, so links are counted once without writing pairs; a filter with
@@ -35,8 +36,11 @@ from plumeria.llm.components import components
 from plumeria.session import cut_lineage
 
 THRESHOLD = 0.98
-#: Filters of a vector, on average; unrelated vectors of a label that a filter holds.
-FILTERS = 32
+#: Codes, each over another order of the dimensions: the number of filters of a vector varies
+#: with its norms in a code's blocks, so no single code suits all vectors.
+CODES = 8
+#: Filters of a vector in a code, on average; unrelated vectors of a label that a filter holds.
+FILTERS = 6
 LOAD = 2.0
 LEAST_FILTERS = 1 << 14
 MOST_CODEWORDS = 1 << 11
@@ -105,10 +109,17 @@ def decode(x: np.ndarray, code: list[np.ndarray], threshold: float, most: float
     return rows, filters
 
 
+def _code(dimension: int, filters: int, number: int) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """The order of dimensions of a code, its codewords and its threshold."""
+    code = codewords(dimension, filters, SEED + number)
+    order = np.random.default_rng([SEED, dimension, 2, number]).permutation(dimension)
+    return order, code, cap_threshold(dimension, code, FILTERS)
+
+
 def _postings(filters: int):
     """For each class its filters: one row per filter, with the vector and all its filters."""
     schema = pa.schema([("label", pa.int64()), ("dimension", pa.int32()), ("filter", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("filters", pa.binary())])
-    codes: dict[int, tuple[list[np.ndarray], float]] = {}
+    codes: dict[int, list[tuple[np.ndarray, list[np.ndarray], float]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +127,7 @@ def _postings(filters: int):
             sizes = np.array([len(v) for v in vectors])
             for dimension in np.unique(sizes).tolist():
                 if dimension not in codes:
-                    code = codewords(dimension, filters)
-                    codes[dimension] = code, cap_threshold(dimension, code, FILTERS)
-                code, threshold = codes[dimension]
+                    codes[dimension] = [_code(dimension, filters, k) for k in range(CODES)]
                 own = np.flatnonzero(sizes == dimension)
                 for start in range(0, len(own), DECODED):
                     at = own[start : start + DECODED]
@@ -126,7 +135,14 @@ def _postings(filters: int):
                     # Scaled first: squares of large or small numbers would not be finite or not be zero.
                     unit = raw / np.abs(raw).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    rows, found = decode(unit, code, threshold)
+                    rows, found = [], []
+                    for k, (order, code, threshold) in enumerate(codes[dimension]):
+                        r, f = decode(unit[:, order], code, threshold)
+                        rows.append(r)
+                        found.append(f + (k << 48))
+                    rows, found = np.concatenate(rows), np.concatenate(found)
+                    sort = np.lexsort((found, rows))
+                    rows, found = rows[sort], found[sort]
                     ends = np.searchsorted(rows, np.arange(len(at) + 1))
                     lists = [found[a:b].tobytes() for a, b in zip(ends, ends[1:])]
                     take = pa.array(at[rows])
