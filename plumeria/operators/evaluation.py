@@ -111,11 +111,11 @@ def metric_row(df: DataFrame, model: str) -> DataFrame:
     return df.select("dt", *present, F.lit(model).alias("model"))
 
 
-def score_histogram(scored: DataFrame, digits: int = 6, by: Sequence[str] = ()) -> DataFrame:
+def score_histogram(scored: DataFrame, digits: int = 12, by: Sequence[str] = ()) -> DataFrame:
     """(by, score, pos, neg) at rounded scores, from (score, y) rows. Null scores are left out."""
     return (
         scored.where(F.col("score").isNotNull())
-        .groupBy(*by, F.round(F.round("score", 12), digits).alias("score"))
+        .groupBy(*by, F.round("score", digits).alias("score"))
         .agg(
             F.sum(F.col("y").cast("bigint")).alias("pos"),
             F.sum(1 - F.col("y").cast("bigint")).cast("bigint").alias("neg"),

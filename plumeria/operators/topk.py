@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 10_000
+from plumeria.session import cut_lineage
+
 ITEM_BLOCK = 8192
 USER_BLOCKS_PER_ITEM_BLOCK = 4
 CHUNK_ROWS = 256
@@ -34,13 +35,19 @@ def shelf(categories: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     return first.groupBy(*keys).agg(F.sort_array(F.collect_list("video_id")).alias("videos"))
 
 
-def packed(shelves: DataFrame, by: list[str]) -> DataFrame:
-    """All shelves (per key) in one array value; its size is checked when the query runs."""
-    rows = shelves.groupBy(*by).agg(
-        F.collect_list(F.struct("category", "videos")).alias("shelves"), F.count("*").alias("n")
-    )
-    fits = F.assert_true(F.col("n") <= MAX_CATEGORIES, f"more than {MAX_CATEGORIES} categories")
-    return rows.select(*by, F.when(fits.isNull(), F.col("shelves")).alias("shelves"))
+def pool(shelves: DataFrame, most: int, by: str | None = None) -> Column:
+    """The ``most`` lowest videos of all shelves with their categories, in order, as one array value.
+
+    With ``by``, a map from its values to such arrays.
+    """
+    keys = [by] if by else []
+    rows = shelves.select(*keys, "category", F.explode("videos").alias("video_id"))
+    order = [F.col("video_id"), F.col("category")]
+    first = top_per_key(rows, keys, order, most) if by else rows.orderBy(*order).limit(most)
+    lists = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("video_id", "category"))).alias("pool"))
+    if by:
+        return lists.agg(F.map_from_entries(F.collect_list(F.struct(by, "pool"))).alias("pools")).scalar()
+    return lists.scalar()
 
 
 def category_scores(measure: str) -> Column:
@@ -70,8 +77,7 @@ def factored_topk(
     After the per-user aggregate every step runs in the same user partitioning.
     """
     shelves = shelf(categories.join(vocabulary, "category", "left_semi"), k)
-    users = user_weights(profile, ["user_id"]).withColumn("shelves", packed(shelves, []).scalar())
-    return rank_shelves(users, ["user_id"], k, measure, ascending)
+    return rank_shelves(user_weights(profile, ["user_id"]), shelves, ["user_id"], k, measure, ascending)
 
 
 def user_weights(profile: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,19 +92,36 @@ def user_weights(profile: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def rank_shelves(users: DataFrame, keys: list[str], k: int, measure: str, ascending: bool = False) -> DataFrame:
-    """(keys, video_id, score, rank, list_size) from rows of weights and shelves.
+def rank_shelves(
+    users: DataFrame,
+    shelves: DataFrame,
+    keys: list[str],
+    k: int,
+    measure: str,
+    ascending: bool = False,
+    by: str | None = None,
+) -> DataFrame:
+    """(keys, video_id, score, rank, list_size) from users with weights and shelves of videos.
 
+    Categories with a weight are joined to their shelves. All others score alike, as weight
+    zero: of them only the lowest k videos matter, and they are among the first
+    k * (weights + 1) videos of all shelves. So a user makes work for the weights it has,
+    however many categories there are. With ``by``, one of the keys, shelves differ by it.
     A category is opened only while the better ones hold fewer than k videos.
     """
-    grid = (
-        users.withColumn("shelf", F.explode("shelves"))
-        .withColumn("weight", F.coalesce(F.element_at("weights", F.col("shelf.category")), F.lit(0)))
-        .select(*keys, "shelf", F.round(category_scores(measure), SCORE_DIGITS).alias("score"))
-    )
+    users = cut_lineage(users)
+    widest = users.agg(F.max(F.size("weights"))).first()[0] or 0
+    first = pool(shelves, k * (widest + 1), by)
+    first = F.element_at(first, F.col(by)) if by else first
+    score = F.round(category_scores(measure), SCORE_DIGITS).alias("score")
+    weighted = users.select(*keys, "norm2", F.explode("weights").alias("category", "weight"))
+    weighted = weighted.join(shelves, [*([by] if by else []), "category"]).select(*keys, score, "videos")
+    others = users.withColumn("first", F.slice(first, 1, F.lit(k) * (F.size("weights") + 1))).withColumn("weight", F.lit(0))
+    others = others.withColumn("others", F.filter("first", lambda v: ~F.map_contains_key("weights", v["category"])))
+    others = others.select(*keys, score, F.transform(F.slice("others", 1, k), lambda v: v["video_id"]).alias("videos"))
     order = F.col("score").asc() if ascending else F.col("score").desc()
-    opened = _while_short(grid, keys, order, F.size("shelf.videos"), k)
-    items = opened.select(*keys, "score", F.explode("shelf.videos").alias("video_id"))
+    opened = _while_short(weighted.unionByName(others), keys, order, F.size("videos"), k)
+    items = opened.select(*keys, "score", F.explode("videos").alias("video_id"))
     ranked = top_per_key(items, keys, [order, F.col("video_id")], k)
     return ranked.withColumn("list_size", F.count("*").over(Window.partitionBy(*keys)))
 
@@ -149,10 +172,10 @@ def _chunks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield rows.iloc[start : start + CHUNK_ROWS]
 
 
-def _with_marks(users: DataFrame, pairs: DataFrame | None, item_blocks: int) -> DataFrame:
+def _with_marks(users: DataFrame, pairs: DataFrame | None, item_blocks: int, item_type: str) -> DataFrame:
     """Adds the user's ``marked`` items of the same item block; a list never exceeds its block."""
     if pairs is None:
-        return users.withColumn("marked", F.lit(None).cast("array<bigint>"))
+        return users.withColumn("marked", F.lit(None).cast(f"array<{item_type}>"))
     marks = (
         pairs.select("user_id", "item_id")
         .distinct()
@@ -178,7 +201,8 @@ def blocked_topk(
     """
     user_blocks, item_blocks = _block_counts(users, items, block)
     left, right = _pair_blocks(users, items, user_blocks, item_blocks)
-    left = _with_marks(left, seen, item_blocks)
+    user_type, item_type = dict(users.dtypes)["user_id"], dict(items.dtypes)["item_id"]
+    left = _with_marks(left, seen, item_blocks, item_type)
 
     def best(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"user_id": [], "item_id": [], "score": []})]
@@ -206,7 +230,7 @@ def blocked_topk(
         return out[np.isfinite(out["score"])]
 
     pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-    nearest = pairs.applyInPandas(best, "user_id bigint, item_id bigint, score double")
+    nearest = pairs.applyInPandas(best, f"user_id {user_type}, item_id {item_type}, score double")
     return top_per_key(nearest, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
@@ -220,7 +244,7 @@ def blocked_histogram(
     """
     user_blocks, item_blocks = _block_counts(users, items, block)
     left, right = _pair_blocks(users, items, user_blocks, item_blocks)
-    left = _with_marks(left, liked, item_blocks)
+    left = _with_marks(left, liked, item_blocks, dict(items.dtypes)["item_id"])
 
     def count(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"score": [], "pos": [], "neg": []})]

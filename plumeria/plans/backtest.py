@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumeria.functions.similarity import ratio
 from plumeria.operators.evaluation import list_counts, macro_daily, user_metrics
-from plumeria.operators.topk import packed, rank_shelves, shelf, user_lists, user_weights
+from plumeria.operators.topk import rank_shelves, shelf, user_lists, user_weights
 from plumeria.plans.video import LIST_SIZE, VideoTables
 
 DAY_MICROS = 86_400_000_000
@@ -142,8 +142,8 @@ def profile_backtest(
     sizes = sizes.groupBy("cycle").agg(F.sum("n").alias("n"))
 
     keys = ["cycle", "user_id"]
-    users = user_weights(profiles, keys).join(packed(open_shelves, ["cycle"]), "cycle")
-    lists = user_lists(rank_shelves(users, keys, LIST_SIZE, measure), keys)
+    ranked = rank_shelves(user_weights(profiles, keys), open_shelves, keys, LIST_SIZE, measure, by="cycle")
+    lists = user_lists(ranked, keys)
     counts = list_counts(truth.join(lists, keys), ["cycle", "dt", "user_id"], k).join(sizes, "cycle")
     daily = macro_daily(user_metrics(counts, k), model, ("cycle", "dt"))
     return daily.withColumn("split_date", cycles.split_date()).drop("cycle")

@@ -22,6 +22,7 @@ from plumeria.operators import (
     series,
     splits,
     tagging,
+    topk,
 )
 from plumeria.plans import backtest, conversation, daily, dashboard, forest, neural, streams, video
 from plumeria.plans.views import SocialTables
@@ -37,7 +38,8 @@ ORDER_AS_OF = "2001-08-02"
 LIKE_DAY = "2024-01-25"
 NEURAL_SPLIT = "1995-06-01"
 NEURAL_END = "1996-12-31"
-MODELS = ["click", "view", "purchase"]
+MODELS = ["click", "view", "purchase", "signup", "error"]
+CHOSEN_MODELS = ["click", "view", "purchase"]
 WIDE_LOOKBACK = 400
 
 _REGISTRY: dict[str, Query] = {}
@@ -272,7 +274,7 @@ def model_ratings(t):
 
 @_query
 def feedback_validated(t):
-    return keyed.validated_feedback(t.model_feedback(), 12).groupBy("model", "reject_reason").agg(
+    return keyed.validated_feedback(t.model_feedback(), 500).groupBy("model", "reject_reason").agg(
         F.count("*").alias("rows")
     )
 
@@ -551,22 +553,22 @@ def itemcf_backtest(t):
 
 @_query
 def als_topk(t):
-    return conversation.als_topk(t.conversation_like(), ts(LIKE_DAY), rank=20, iterations=5)
+    return conversation.als_topk(t.conversation_like(), ts(LIKE_DAY))
 
 
 @_query
 def als_daily_metrics(t):
-    return conversation.als_metrics(t.conversation_like(), ts(LIKE_DAY), rank=20, iterations=5)
+    return conversation.als_metrics(t.conversation_like(), ts(LIKE_DAY))
 
 
 @_query
 def hybrid_nmf_topk(t):
-    return conversation.hybrid_topk(t.conversation_like(), t.conversation(), ts(LIKE_DAY), iterations=5)
+    return conversation.hybrid_topk(t.conversation_like(), t.conversation(), ts(LIKE_DAY))
 
 
 @_query
 def hybrid_daily_metrics(t):
-    return conversation.hybrid_metrics(t.conversation_like(), t.conversation(), ts(LIKE_DAY), iterations=5)
+    return conversation.hybrid_metrics(t.conversation_like(), t.conversation(), ts(LIKE_DAY))
 
 
 # What must hold of fitted models whatever the fit
@@ -585,47 +587,78 @@ def _list_sizes(topk: DataFrame) -> DataFrame:
 
 @_query
 def als_list_sizes(t):
-    return _list_sizes(conversation.als_topk(t.conversation_like(), ts(LIKE_DAY), rank=5, iterations=2))
+    return _list_sizes(conversation.als_topk(t.conversation_like(), ts(LIKE_DAY)))
 
 
 @_query
 def hybrid_list_sizes(t):
     likes, tagged = t.conversation_like(), t.conversation()
-    return _list_sizes(conversation.hybrid_topk(likes, tagged, ts(LIKE_DAY), rank=4, iterations=1))
+    return _list_sizes(conversation.hybrid_topk(likes, tagged, ts(LIKE_DAY)))
 
 
 @_query
 def rf_list_sizes(t):
-    return _list_sizes(forest.forest_topk(_video_tables(t), _split(), trees=5, max_depth=4))
+    return _list_sizes(forest.forest_topk(_video_tables(t), _split()))
 
 
 @_query
 def ncf_support(t):
-    rows = neural.predicted_categories(
-        _video_tables(t), ts(NEURAL_SPLIT), ts(NEURAL_END), rank=4, als_iterations=1, epochs=3
-    )
+    rows = neural.predicted_categories(_video_tables(t), ts(NEURAL_SPLIT), ts(NEURAL_END))
     return rows.groupBy("dt", "actual").agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"))
 
 
 @_query
 def daily_video_metrics(t):
-    settings = daily.DailySettings(
-        as_of="2001-11-01",
-        forest={"trees": 10, "max_depth": 5},
-        network={"rank": 8, "als_iterations": 2, "epochs": 5},
-    )
-    return daily.video_metrics(_video_tables(t), settings)
+    return daily.video_metrics(_video_tables(t), daily.DailySettings(as_of="2001-11-01"))
 
 
 @_query
 def daily_conversation_metrics(t):
-    settings = daily.DailySettings(
-        as_of="2024-01-30", als={"rank": 8, "iterations": 2}, hybrid={"rank": 4, "iterations": 2}
-    )
+    settings = daily.DailySettings(as_of="2024-01-30")
     return daily.conversation_metrics(t.conversation_like(), t.conversation(), settings)
 
 
-# Metrics on given scores
+# Metrics on given scores and lists
+
+
+def _likes_of_day(t: SocialTables) -> tuple[DataFrame, DataFrame]:
+    rows = conversation.distinct_likes(t.conversation_like())
+    test = splits.on_day(rows, "liked_at", ts(LIKE_DAY)).select(F.to_date(ts(LIKE_DAY)).alias("dt"), "user_id", "item_id")
+    return splits.train_before(rows, "liked_at", ts(LIKE_DAY)), test
+
+
+def _given_lists(t: SocialTables) -> DataFrame:
+    """The ten best scored conversations of every user."""
+    scores = conversation.item_scores(t.conversation_like(), ts(LIKE_DAY)).withColumn("score", F.round("score", 6))
+    return topk.top_per_key(scores, ["user_id"], [F.col("score").desc(), F.col("item_id")], 10)
+
+
+@_query
+def list_row_metrics(t):
+    known, test = _likes_of_day(t)
+    return evaluation.row_metrics(evaluation.row_hits(test, _given_lists(t), known))
+
+
+@_query
+def list_user_metrics(t):
+    return evaluation.user_list_metrics(_likes_of_day(t)[1], _given_lists(t), 10)
+
+
+@_query
+def given_category_topk(t):
+    """Videos by given scores of users and categories: how many products of a brand they bought."""
+    bought = t.vote().join(profiles.video_categories(t.video(), t.season()), "video_id")
+    scores = bought.groupBy(F.col("voter_id").alias("user_id"), "category").agg(F.count("*").cast("double").alias("score"))
+    return topk.topk_by_category_score(scores, profiles.video_categories(t.video(), t.season()), 20)
+
+
+@_query
+def given_vectors_topk(t):
+    """The ten vectors with the largest dot product, by vectors of one label against all others."""
+    vectors = t.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
+    users = vectors.where("label = 1").select(F.col("vec_id").alias("user_id"), "features")
+    items = vectors.where("label <> 1").select(F.col("vec_id").cast("string").alias("item_id"), "features")
+    return topk.blocked_topk(users, items, 10).select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 @_query
@@ -799,7 +832,8 @@ def account_search(t):
 @_query
 def role_lookup(t):
     keys = t.table("orders").select(F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("username"))
-    return quality.lookup(keys.distinct(), t.account().where("role <> 'admin'"), "username", "role")
+    unknown = t.table("supplier").select(F.concat(F.lit("seller"), F.col("s_suppkey").cast("string")).alias("username"))
+    return quality.lookup(keys.unionByName(unknown).distinct(), t.account(), "username", "role")
 
 
 @_query
@@ -809,7 +843,11 @@ def hash_column(t):
 
 @_query
 def account_fresh_ids(t):
-    return t.account().select("username", text.fresh_id().alias("account_id"))
+    """How many fresh ids there are, how many distinct, and how many have the form of a random UUID."""
+    ids = t.account().select(text.fresh_id().alias("account_id"))
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    formed = F.sum(F.col("account_id").rlike(form).cast("bigint"))
+    return ids.agg(F.count("*").alias("ids"), F.countDistinct("account_id").alias("distinct_ids"), formed.alias("formed"))
 
 
 @_query

@@ -309,7 +309,7 @@ ORACLES["metric_range_year_to_date"] = sql(
 ORACLES["metric_retraining_dates"] = sql("SELECT DISTINCT CAST(dt AS VARCHAR) AS dt FROM model_metrics")
 ORACLES["metric_union_clean"] = sql(
     f"""SELECT CAST(dt AS VARCHAR) AS dt, {", ".join(METRIC_COLUMNS)}, model FROM model_metrics
-    WHERE {_CHOSEN} AND day(dt) % 10 <> 3"""
+    WHERE day(dt) % 10 <> 3"""
 )
 ORACLES["metric_csv_clean"] = ORACLES["metric_union_clean"]
 ORACLES["metric_null_for_nan"] = sql(
@@ -340,7 +340,7 @@ ORACLES["model_ratings"] = sql(
 )
 ORACLES["feedback_validated"] = sql(
     """SELECT model, CASE WHEN feedback IS NULL OR rating IS NULL THEN 'missing value'
-        WHEN length(feedback) > 12 THEN 'feedback too long' END AS reject_reason, count(*) AS rows
+        WHEN length(feedback) > 500 THEN 'feedback too long' END AS reject_reason, count(*) AS rows
     FROM model_feedback GROUP BY ALL"""
 )
 
@@ -626,7 +626,7 @@ def _item_parts(day: str) -> list[str]:
 def _item_metrics(day: str) -> tuple[str, list[str]]:
     ctes = [
         *_item_parts(day),
-        """pairs AS (SELECT round(round(coalesce(s, 0), 12), 6) AS s, CASE WHEN t.u IS NULL THEN 0 ELSE 1 END AS y
+        """pairs AS (SELECT round(coalesce(s, 0), 12) AS s, CASE WHEN t.u IS NULL THEN 0 ELSE 1 END AS y
           FROM (SELECT DISTINCT u FROM test WHERE u IN (SELECT u FROM train)) uu
           CROSS JOIN (SELECT DISTINCT c FROM test WHERE c IN (SELECT c FROM train)) cc
           LEFT JOIN score ON score.u = uu.u AND score.c = cc.c LEFT JOIN test t ON t.u = uu.u AND t.c = cc.c)""",
@@ -701,7 +701,7 @@ ORACLES["ncf_support"] = sql(
 # Metrics on given scores
 
 _SCORED = [
-    "scored AS (SELECT round(round(value / 500, 12), 6) AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM events)",
+    "scored AS (SELECT round(value / 500, 12) AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y FROM events)",
     "hist AS (SELECT s, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM scored GROUP BY s)",
 ]
 ORACLES["auc_rank_sum"] = sql(
@@ -766,16 +766,16 @@ ORACLES["conversation_text_tagging"] = sql(
 # Codes
 
 ORACLES["id_index"] = sql(
-    """SELECT conversation_id, CAST(row_number() OVER (ORDER BY conversation_id) - 1 AS INTEGER) AS code
+    """SELECT conversation_id, row_number() OVER (ORDER BY conversation_id) - 1 AS code
     FROM (SELECT DISTINCT conversation_id FROM conversation_like WHERE conversation_id IS NOT NULL)"""
 )
 ORACLES["label_encode"] = sql(
-    """SELECT status, CAST(s AS INTEGER) AS status_code, count(*) AS rows, CAST(sum(v) AS BIGINT) AS code_sum FROM (
+    """SELECT status, CAST(s AS BIGINT) AS status_code, count(*) AS rows, CAST(sum(v) AS BIGINT) AS code_sum FROM (
       SELECT status, dense_rank() OVER (ORDER BY status) - 1 AS s, dense_rank() OVER (ORDER BY video_id) - 1 AS v
       FROM vote) GROUP BY ALL"""
 )
 ORACLES["label_decode"] = sql(
-    """SELECT user_id, CAST(dense_rank() OVER (ORDER BY role) - 1 AS INTEGER) AS role_code, role FROM account"""
+    """SELECT user_id, dense_rank() OVER (ORDER BY role) - 1 AS role_code, role FROM account"""
 )
 ORACLES["interaction_matrix"] = sql(
     "SELECT like_giver_id, conversation_id, count(*) AS value FROM conversation_like GROUP BY ALL"
@@ -817,8 +817,54 @@ ORACLES["account_quality_rules"] = sql(
 ORACLES["account_search"] = sql("SELECT username, role FROM account WHERE contains(username, '10')")
 ORACLES["role_lookup"] = sql(
     """SELECT k.username, coalesce(a.role, '') AS role
-    FROM (SELECT DISTINCT 'user' || CAST(o_custkey AS VARCHAR) AS username FROM orders) k
-    LEFT JOIN (SELECT * FROM account WHERE role <> 'admin') a USING (username)"""
+    FROM (SELECT 'user' || CAST(o_custkey AS VARCHAR) AS username FROM orders
+      UNION SELECT 'seller' || CAST(s_suppkey AS VARCHAR) FROM supplier) k
+    LEFT JOIN account a USING (username)"""
 )
 ORACLES["hash_column"] = sql("SELECT username, sha256(email) AS digest FROM account")
 ORACLES["full_text"] = sql("SELECT id, title || ' ' || caption AS text FROM conversation")
+ORACLES["account_fresh_ids"] = sql("SELECT count(*) AS ids, count(*) AS distinct_ids, count(*) AS formed FROM account")
+
+
+# Metrics and lists from given scores
+
+_GIVEN = [
+    *_item_parts(LIKE_DAY),
+    f"""lists AS (SELECT u, c, row_number() OVER (PARTITION BY u ORDER BY {r("s")} DESC, c) AS rank FROM score
+      QUALIFY rank <= 10)""",
+    f"""shown AS (SELECT DISTINCT like_giver_id AS u, conversation_id AS c, liked_at FROM conversation_like
+      WHERE CAST(liked_at AS DATE) = DATE '{LIKE_DAY}')""",
+]
+ORACLES["list_row_metrics"] = sql(
+    f"""SELECT '{LIKE_DAY}' AS dt, CAST(0 AS DOUBLE) AS roc_auc_score, {r("avg(p)")} AS accuracy, max(p) AS precision_score,
+      {r("avg(p)")} AS recall, {r("2 * avg(p) / (1 + avg(p))")} AS f1_score, {r("avg(p) FILTER (known)")} AS hit_ratio_k,
+      {r("avg(g) FILTER (known)")} AS ndcg_k FROM (
+        SELECT CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p, s.u IN (SELECT u FROM train) AS known,
+          CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1 / log2(rank + 1) END AS g
+        FROM shown s LEFT JOIN lists l ON l.u = s.u AND l.c = s.c)""",
+    *_GIVEN,
+)
+ORACLES["list_user_metrics"] = sql(
+    f"""SELECT {r("avg(hit)")} AS hit_ratio_k, {r("avg(gain / total)")} AS ndcg_k FROM (
+      SELECT t.u, max(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS hit,
+        sum(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1 / log2(rank + 1) END) AS gain,
+        (SELECT sum(1 / log2(x + 1)) FROM range(1, 11) places(x)) AS total
+      FROM test t LEFT JOIN lists l ON l.u = t.u AND l.c = t.c GROUP BY t.u)""",
+    *_GIVEN,
+)
+ORACLES["given_category_topk"] = sql(
+    """SELECT user_id, video_id, score, CAST(row_number() OVER best AS INTEGER) AS rank,
+      least(20, count(*) OVER (PARTITION BY user_id)) AS list_size
+    FROM (SELECT voter_id AS user_id, category, CAST(count(*) AS DOUBLE) AS score FROM vote JOIN videos USING (video_id) GROUP BY ALL)
+    JOIN videos USING (category)
+    WINDOW best AS (PARTITION BY user_id ORDER BY score DESC, video_id) QUALIFY row_number() OVER best <= 20""",
+    "videos AS (SELECT v.id AS video_id, category FROM video v JOIN season s ON s.id = season_id)",
+)
+ORACLES["given_vectors_topk"] = sql(
+    f"""SELECT x.vec_id AS user_id, CAST(y.vec_id AS VARCHAR) AS item_id, {r("list_dot_product(x.f, y.f)")} AS score,
+      CAST(row_number() OVER best AS INTEGER) AS rank
+    FROM vectors x JOIN vectors y ON x.label = 1 AND y.label <> 1
+    WINDOW best AS (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x.f, y.f), 12) DESC, CAST(y.vec_id AS VARCHAR))
+    QUALIFY row_number() OVER best <= 10""",
+    "vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)",
+)

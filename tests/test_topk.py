@@ -52,10 +52,21 @@ def test_factored_equals_brute_force(spark, measure, k, ascending):
     assert all(r["list_size"] == len(got[r["user_id"]]) for r in rows)
 
 
-def test_category_limit_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(tk, "MAX_CATEGORIES", 2)
-    with pytest.raises(Exception, match="more than 2 categories"):
-        tk.factored_topk(*frames(spark), 3).collect()
+def test_very_many_categories(spark):
+    n = 10_001
+    categories = spark.createDataFrame([(k, f"c{k:05d}") for k in range(n)], "video_id bigint, category string")
+    profile = spark.createDataFrame([(1, "c10000", 2), (1, "c00000", -1), (2, "c00003", 1)], "user_id bigint, category string, weight bigint")
+    rows = tk.factored_topk(profile, categories, categories.select("category"), 3).collect()
+    got = {(r["user_id"], r["rank"]): r["video_id"] for r in rows}
+    assert got == {(1, 1): 10_000, (1, 2): 1, (1, 3): 2, (2, 1): 3, (2, 2): 0, (2, 3): 1}
+
+
+def test_text_ids_are_ranked(spark):
+    users = spark.createDataFrame([("u1", [1.0, 0.0]), ("u2", [0.0, 1.0])], "user_id string, features array<double>")
+    items = spark.createDataFrame([("a", [2.0, 1.0]), ("b", [1.0, 3.0])], "item_id string, features array<double>")
+    seen = spark.createDataFrame([("u2", "b")], "user_id string, item_id string")
+    got = {(r["user_id"], r["rank"]): r["item_id"] for r in tk.blocked_topk(users, items, 2, seen).collect()}
+    assert got == {("u1", 1): "a", ("u1", 2): "b", ("u2", 1): "a"}
 
 
 def test_category_scores_equal_brute_force(spark):
