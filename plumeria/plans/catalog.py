@@ -122,12 +122,12 @@ def conversation_like_rate_interval_join(t):
 
 @_query
 def stream_like_rate(t):
-    return streams.final_like_rates(t)
+    return streams.like_rates(t)
 
 
 @_query
 def stream_video_rate(t):
-    return streams.final_video_rates(t)
+    return streams.video_rates(t)
 
 
 @_query

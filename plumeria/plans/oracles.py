@@ -155,9 +155,7 @@ ORACLES["stream_like_rate"] = sql(
     f"""SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS recommendation_date,
       CAST(sum(f) AS BIGINT) AS liked_conversations, count(f) AS number_recommended,
       {r("sum(f) / count(f)")} AS like_percentage
-    FROM flagged WHERE CAST(created_at AS DATE) + 1 <= (SELECT least(
-        (SELECT max(created_at) FROM rs_daily_conversation_for_user),
-        (SELECT max(liked_at) FROM conversation_like)) - INTERVAL 1 HOUR - INTERVAL 2 DAY)
+    FROM flagged
     GROUP BY CAST(created_at AS DATE)""",
     """flagged AS (SELECT c.created_at, CASE WHEN liked_at IS NOT NULL THEN 1 ELSE 0 END AS f
       FROM rs_daily_conversation_for_user c LEFT JOIN conversation_like
@@ -167,9 +165,7 @@ ORACLES["stream_like_rate"] = sql(
 ORACLES["stream_video_rate"] = sql(
     f"""SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS recommendation_date,
       CAST(sum(f) AS BIGINT) AS upvoted_videos, count(f) AS number_recommended, {r("sum(f) / count(f)")} AS upvote_percentage
-    FROM flagged WHERE CAST(created_at AS DATE) + 1 <= (SELECT least(
-        (SELECT max(created_at) FROM rs_daily_video_for_user),
-        (SELECT max(created_at) FROM vote)) - INTERVAL 1 HOUR - INTERVAL 2 DAY)
+    FROM flagged
     GROUP BY CAST(created_at AS DATE)""",
     """flagged AS (SELECT recommendation_id, user_id, recommended_video_id, c.created_at,
         max(CASE WHEN v.created_at IS NOT NULL THEN 1 ELSE 0 END) AS f

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumeria.functions.dates import acted_within, plus_days
+from plumeria.session import cut_lineage
 from plumeria.sources.tables import upsert_by_date
 
 
@@ -90,6 +91,63 @@ def upsert_rates(spark: SparkSession, path: str) -> Callable[[DataFrame, int], N
     return write
 
 
+def landed(recs: DataFrame, actions: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Recommendations and actions as one stream of (kind, id, item, user, at).
+
+    ``names`` says which columns they are: rec_id, rec_item, rec_user, rec_time, act_item, act_user, act_time.
+    """
+
+    def rows(df: DataFrame, kind: str, ident) -> DataFrame:
+        columns = [F.col(names[f"{kind}_{c}"]).alias(c) for c in ("item", "user")]
+        return df.select(F.lit(kind).alias("kind"), ident.alias("id"), *columns, F.col(names[f"{kind}_time"]).cast("timestamp").alias("at"))
+
+    kind_of_id = dict(recs.dtypes)[names["rec_id"]]
+    return rows(recs, "rec", F.col(names["rec_id"])).unionByName(rows(actions, "act", F.lit(None).cast(kind_of_id)))
+
+
+def refresh_rates(
+    spark: SparkSession, log: str, rates: str, rate: Callable[[DataFrame, DataFrame], DataFrame], days: int = 2
+) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the rates of all dates up to date, also of those whose interval is open.
+
+    Rows land in a log by batch; a batch that comes again replaces its part. The dates that its
+    rows can change are rated again from the log and replace the stored ones. Late rows count.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        whole = spark.read.parquet(log)
+        day = F.to_date("at")
+        # An action changes recommendations of its own day and of the days before that reach it.
+        back = F.when(F.col("kind") == "act", days).otherwise(0)
+        new = whole.where(F.col("epoch") == epoch).select(F.explode(F.sequence(F.date_sub(day, back), day)).alias("day"))
+        touched = sorted(r[0] for r in new.distinct().collect())
+        if not touched:
+            return
+        recs = whole.where((F.col("kind") == "rec") & day.isin(touched))
+        reach = F.date_add(F.lit(touched[-1]), days + 1)
+        acts = whole.where((F.col("kind") == "act") & day.between(F.lit(touched[0]), reach))
+        recs = recs.select(F.col("id").alias("rec_id"), F.col("item").alias("rec_item"), F.col("user").alias("rec_user"), F.col("at").alias("rec_time"))
+        acts = acts.select(F.col("item").alias("act_item"), F.col("user").alias("act_user"), F.col("at").alias("act_time"))
+        # One row per date: a year's rates are one small file.
+        rated = rate(recs, acts).withColumn("year", F.year("recommendation_date"))
+        upsert_by_date(spark, rates, cut_lineage(rated), ["recommendation_date"], "year")
+
+    return write
+
+
+def like_rate(recs: DataFrame, acts: DataFrame, days: int = 2) -> DataFrame:
+    """Rates from (rec_id, rec_item, rec_user, rec_time) and (act_item, act_user, act_time); every like counts."""
+    return _daily(_flags(recs, acts, days), "liked_conversations", "like_percentage")
+
+
+def vote_rate(recs: DataFrame, acts: DataFrame, days: int = 2) -> DataFrame:
+    """As ``like_rate``; a recommendation counts once, however many votes fall into its interval."""
+    key = ["rec_id", "rec_item", "rec_user", "rec_time"]
+    once = _flags(recs, acts, days).groupBy(*key).agg(F.max("is_acted").alias("is_acted"))
+    return _daily(once, "upvoted_videos", "upvote_percentage")
+
+
 def drain(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:

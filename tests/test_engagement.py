@@ -191,3 +191,16 @@ def test_number_recommended_by_id(spark, folder):
     recs = tables.rs_daily_conversation_for_user()
     total = conversation_like_rate(recs, tables.conversation_like()).agg(F.sum("number_recommended")).first()[0]
     assert total >= recs.count()
+
+
+def test_streamed_rates_of_folder_tables_in_several_batches(spark, folder, tmp_path):
+    """Open dates are published, late likes count, and a folder of part files is read whole."""
+    from plumeria.plans import streams
+
+    spark.read.parquet(f"{folder}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    tables = SocialTables(spark, str(tmp_path))
+    streamed = streams.like_rates(tables, files_per_batch=1)
+    batch = conversation_like_rate(tables.rs_daily_conversation_for_user(), tables.conversation_like(), interval_in_join=True)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+    merged = streams.merged_likes(tables)
+    assert merged.count() == tables.conversation_like().select("activity_id").distinct().count()
