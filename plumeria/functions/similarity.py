@@ -39,8 +39,3 @@ def ratio(a: str | Column, b: str | Column) -> Column:
 
 def capped(a: str | Column) -> Column:
     return F.least(column(a), F.lit(1.0))
-
-
-def blend(a: str | Column, b: str | Column, weight: float) -> Column:
-    """``weight * a + (1 - weight) * b`` with missing parts counted as zero."""
-    return weight * F.coalesce(column(a), F.lit(0.0)) + (1 - weight) * F.coalesce(column(b), F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,10 +73,27 @@ def new_rows(source: DataFrame, when: str, mark: str | None) -> DataFrame:
     return source.where(F.col(when) > F.lit(mark).cast(source.schema[when].dataType))
 
 
+def unseen_rows(source: DataFrame, existing: DataFrame, key: str, when: str, lateness: timedelta) -> DataFrame:
+    """Rows from the mark, less ``lateness``, on that the snapshot doesn't hold as new or newer.
+
+    Both sides are read from that time on only, which is a literal in their filters.
+    """
+    mark = high_water_mark(existing, when)
+    if mark is None:
+        return source
+    since = (datetime.fromisoformat(mark) - lateness).isoformat(sep=" ")
+    recent = [df.where(F.col(when) >= F.lit(since).cast(df.schema[when].dataType)) for df in (source, existing)]
+    stored = recent[1].groupBy(F.col(key).alias("_key")).agg(F.max(when).alias("_when"))
+    same = (F.col(key) == F.col("_key")) & (F.col(when) <= F.col("_when"))
+    return recent[0].join(stored, same, "left_anti")
+
+
 def merge_delta(existing: DataFrame, delta: DataFrame, keys: Sequence[str], when: str) -> DataFrame:
-    """Snapshot plus delta, newest row per key. Old rows are only filtered, not regrouped."""
-    fresh = dedupe_latest(delta, keys, when)
-    return upsert(existing, fresh, keys)
+    """Snapshot plus delta, newest row per key, wherever it comes from. Keys outside the delta are only filtered."""
+    named = delta.select(*keys).distinct()
+    stored = existing.join(named, list(keys), "left_semi").select(*existing.columns)
+    newest = dedupe_latest(stored.unionByName(delta.select(*existing.columns)), keys, when)
+    return existing.join(named, list(keys), "left_anti").select(*existing.columns).unionByName(newest)
 
 
 def validated_feedback(rows: DataFrame, limit: int) -> DataFrame:
@@ -87,5 +105,6 @@ def validated_feedback(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def latest_snapshot(log: DataFrame, key: str, when: str) -> DataFrame:
-    """The newest append per key of a log that only grows."""
-    return latest_per(log, [key], [F.col(when).desc()])
+    """The newest append per key of a log that only grows; of equal times the largest by the other columns."""
+    rest = [F.col(c).desc() for c in log.columns if c not in (key, when)]
+    return latest_per(log, [key], [F.col(when).desc(), *rest])

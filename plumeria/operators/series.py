@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,12 +72,14 @@ def comparison_dates(df: DataFrame) -> DataFrame:
     return recent.groupBy("model").agg(F.max("dt").alias("latest_date"), F.min("dt").alias("previous_date"))
 
 
-def trailing_averages(df: DataFrame, when: str, value: str, rows: Sequence[int] = (3, 7, 31)) -> DataFrame:
-    """Mean of the newest 3, 7 and 31 rows of one series, with percent text."""
+def trailing_averages(
+    df: DataFrame, when: str, value: str, rows: Sequence[int] = (3, 7, 31), text: Callable[[str], Column] = percent_text
+) -> DataFrame:
+    """Mean of the newest 3, 7 and 31 rows of one series, with text: percent, or what ``text`` makes of counts."""
     newest = df.select(when, value).orderBy(F.col(when).desc()).limit(max(rows))
     ages = newest.withColumn("_age", F.row_number().over(Window.orderBy(F.col(when).desc())))
     means = [F.avg(F.when(F.col("_age") <= n, F.col(value))).alias(f"avg_{n}") for n in rows]
-    texts = [percent_text(f"avg_{n}").alias(f"avg_{n}_text") for n in rows]
+    texts = [text(f"avg_{n}").alias(f"avg_{n}_text") for n in rows]
     return ages.agg(*means).select("*", *texts)
 
 

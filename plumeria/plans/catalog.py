@@ -146,6 +146,12 @@ def rate_trailing_averages(t):
     return series.trailing_averages(latest, "recommendation_date", "like_percentage")
 
 
+@_query
+def count_trailing_averages(t):
+    latest = keyed.latest_snapshot(t.rate_log(), "recommendation_date", "dt")
+    return series.trailing_averages(latest, "recommendation_date", "number_recommended", text=text.decimal_text)
+
+
 @_query
 def rate_series(t):
     return dashboard.rate_series(
@@ -332,6 +338,11 @@ def vote_count_histogram(t):
     return dashboard.count_histogram(dashboard.votes_per_video(t.video(), t.vote()), "vote_count", 200, 10)
 
 
+@_query
+def follower_count_histogram(t):
+    return dashboard.positive_histogram(t.app_user(), "follower_count", 100)
+
+
 @_query
 def like_count_histogram(t):
     counts = dashboard.likes_per_conversation(t.conversation(), t.conversation_like())

@@ -179,7 +179,8 @@ ORACLES["stream_snapshot_merge"] = sql(
 )
 
 LATEST_RATE = """latest AS (SELECT * FROM rate_log
-  QUALIFY row_number() OVER (PARTITION BY recommendation_date ORDER BY dt DESC) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY recommendation_date
+    ORDER BY dt DESC, liked_conversations DESC, number_recommended DESC, like_percentage DESC) = 1)"""
 
 ORACLES["latest_rate_per_date"] = sql(
     f"""SELECT CAST(recommendation_date AS VARCHAR) AS recommendation_date, {stamp("dt")} AS dt, liked_conversations,
@@ -195,6 +196,14 @@ ORACLES["rate_trailing_averages"] = sql(
     LATEST_RATE,
     "aged AS (SELECT *, row_number() OVER (ORDER BY recommendation_date DESC) AS age FROM latest)",
 )
+ORACLES["count_trailing_averages"] = sql(
+    """SELECT round(round(a3, 12) + 1e-10, 6) AS avg_3, round(round(a7, 12) + 1e-10, 6) AS avg_7, round(round(a31, 12) + 1e-10, 6) AS avg_31,
+      format('{:,.2f}', a3) AS avg_3_text, format('{:,.2f}', a7) AS avg_7_text, format('{:,.2f}', a31) AS avg_31_text
+    FROM (SELECT avg(number_recommended) FILTER (age <= 3) AS a3, avg(number_recommended) FILTER (age <= 7) AS a7,
+            avg(number_recommended) FILTER (age <= 31) AS a31 FROM aged)""",
+    LATEST_RATE,
+    "aged AS (SELECT *, row_number() OVER (ORDER BY recommendation_date DESC) AS age FROM latest)",
+)
 _ROLLING = ", ".join(
     f"{r(f'avg(like_percentage) OVER (ORDER BY recommendation_date ROWS {n - 1} PRECEDING)')} AS avg_{n}"
     for n in (3, 7, 31)
@@ -394,6 +403,7 @@ def _histogram(counts: str, value: str, where: str, bins: int, fixed: str | None
 
 ORACLES["vote_count_histogram"] = _histogram(VOTE_COUNTS, "vote_count", "vote_count < 200", 10)
 ORACLES["like_count_histogram"] = _histogram(LIKE_COUNTS, "like_count", "like_count < 85", 10)
+ORACLES["follower_count_histogram"] = _histogram("", "follower_count", "follower_count > 0", 100, "app_user")
 ORACLES["following_count_histogram"] = _histogram("", "following_count", "following_count > 0", 100, "app_user")
 
 

@@ -19,8 +19,6 @@ def local_session(cpus: int | str = 8, app: str = "plumeria", memory: str = "8g"
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", partitions)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -103,12 +103,12 @@ class FeatherWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WrittenFile]) -> None:
         fs, base, staging = self._staged()
         fs.create_dir(base, recursive=True)
-        if self.overwrite:
-            for old in _files(self.path):
-                fs.delete_file(old)
+        replaced = _files(self.path) if self.overwrite else []
         for message in messages:
             if message is not None and message.name:
                 fs.move(f"{staging}/{message.name}", f"{base}/{message.name}")
+        for old in replaced:
+            fs.delete_file(old)
         self._clear(fs, staging)
 
     def abort(self, messages: list[WrittenFile]) -> None:

@@ -165,9 +165,9 @@ def test_incremental_extract_merges_and_keeps_the_delta(spark, tmp_path):
          (3, "older", "2024-01-03")],
     )
     delta = tables.extract_new(spark, lambda name: source, "user_interest", root, delta_root)
-    assert rows_of(delta.select("id", "name")) == [(1, "changed"), (3, "c"), (3, "older")]
+    assert rows_of(delta.select("id", "name")) == [(1, "changed"), (3, "c"), (3, "older"), (5, "late")]
     merged = spark.read.parquet(f"{root}/user_interest")
-    assert rows_of(merged.select("id", "name")) == [(1, "changed"), (2, "b"), (3, "c")]
+    assert rows_of(merged.select("id", "name")) == [(1, "changed"), (2, "b"), (3, "c"), (5, "late")]
     again = tables.extract_new(spark, lambda name: source, "user_interest", root, delta_root)
     assert again.count() == 0
     with pytest.raises(ValueError):
