@@ -41,7 +41,7 @@ THRESHOLD = 0.98
 CODES = 8
 #: Filters of a vector in a code, on average; unrelated vectors of a label that a filter holds.
 FILTERS = 6
-LOAD = 2.0
+LOAD = 0.125
 LEAST_FILTERS = 1 << 14
 MOST_CODEWORDS = 1 << 11
 SEED = 20160101
@@ -116,9 +116,9 @@ def _code(dimension: int, filters: int, number: int) -> tuple[np.ndarray, list[n
     return order, code, cap_threshold(dimension, code, FILTERS)
 
 
-def _postings(filters: int):
-    """For each class its filters: one row per filter, with the vector and all its filters."""
-    schema = pa.schema([("label", pa.int64()), ("dimension", pa.int32()), ("filter", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("filters", pa.binary())])
+def _decoded(filters: int):
+    """Each class with its unit vector and the sorted list of its filters."""
+    schema = pa.schema([("label", pa.int64()), ("dimension", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("filters", pa.list_(pa.int64()))])
     codes: dict[int, list[tuple[np.ndarray, list[np.ndarray], float]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +142,11 @@ def _postings(filters: int):
                         found.append(f + (k << 48))
                     rows, found = np.concatenate(rows), np.concatenate(found)
                     sort = np.lexsort((found, rows))
-                    rows, found = rows[sort], found[sort]
-                    ends = np.searchsorted(rows, np.arange(len(at) + 1))
-                    lists = [found[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                    take = pa.array(at[rows])
+                    ends = pa.array(np.searchsorted(rows[sort], np.arange(len(at) + 1)), pa.int32())
+                    take = pa.array(at)
                     columns = [
-                        batch.column("label").take(take), pa.array(np.full(len(rows), dimension), pa.int32()), pa.array(found), batch.column("node").take(take),
-                        batch.column("copies").take(take), pa.array([unit[r].tobytes() for r in rows], pa.binary()), pa.array([lists[r] for r in rows], pa.binary()),
+                        batch.column("label").take(take), pa.array(np.full(len(at), dimension), pa.int32()), batch.column("node").take(take),
+                        batch.column("copies").take(take), pa.array([x.tobytes() for x in unit], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(found[sort])),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -192,7 +190,7 @@ def _compare(threshold: float):
                 two.append(right[own][close])
             a = b
         left, right = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (one, two))
-        sets = {int(k): np.frombuffer(lists[int(k)].as_buffer(), dtype=np.int64) for k in np.unique(np.concatenate((left, right)))}
+        sets = {int(k): np.asarray(lists[int(k)].values) for k in np.unique(np.concatenate((left, right)))}
         keep = np.array([np.intersect1d(sets[i], sets[j], assume_unique=True)[0] == keys[2][i] for i, j in zip(left.tolist(), right.tolist())], dtype=bool)
         left, right = left[keep], right[keep]
         found, at = np.unique(nodes, return_inverse=True)
@@ -246,16 +244,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
     n = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     filters = max(LEAST_FILTERS, 1 << math.ceil(math.log2(max(1.0, n * FILTERS / LOAD))))
-    posted = classes.select("label", "node", "copies", "embedding").mapInArrow(
-        _postings(filters), "label long, dimension int, filter long, node long, copies long, vector binary, filters binary"
+    decoded = classes.select("label", "node", "copies", "embedding").mapInArrow(
+        _decoded(filters), "label long, dimension int, node long, copies long, vector binary, filters array<bigint>"
     )
-    posted = cut_lineage(posted)
+    decoded = cut_lineage(decoded)
     key = ["label", "dimension", "filter"]
+    posted = decoded.select("label", "dimension", F.explode("filters").alias("filter"), "node")
     # Only filters with more than one vector matter; only large ones are cut.
-    sizes = posted.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("long").alias("parts"), F.count("*").alias("m")).where("m > 1").drop("m")
-    parts = posted.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    sizes = posted.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1")
+    parts = posted.join(sizes.select(*key, F.ceil(F.col("m") / BLOCK_VECTORS).cast("long").alias("parts")), key)
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = parts.select(*key, F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "part", "node", "copies", "vector", "filters")
+    blocks = parts.select(*key, F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "part", "node")
+    # Vectors travel only where there is something to compare them to.
+    blocks = blocks.join(decoded.select("node", "copies", "vector", "filters"), "node")
     order = [*key, "row", "col"]
     judged = blocks.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(_compare(threshold), "u long, v long, links long")
     judged = cut_lineage(judged)
