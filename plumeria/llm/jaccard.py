@@ -6,17 +6,18 @@ All sets follow one global order, rare shingles first as far as counts tell. If
 of a set's s shingles must be shared, two linked sets share k of the first s - o + k (any k).
 
 - Light sets are small: each of the fixed-size subsets (pairs, k = 2) of such a prefix is a key.
-- Heavy sets are large: each shingle of their prefix (k = 1) is a key, and the inverted
-  lists are scanned; light sets near the boundary take part, as heavy ones may link to them.
+- Heavy sets are large: each shingle of their prefix (k = 1 + s // 16) is a key, and the
+  inverted lists are scanned; a set with fewer than k keys on lists of several sets is linked
+  to none. Light sets near the boundary take part, as heavy ones may link to them.
 - The boundary is the size at which the summed cost of either side is least, by the numbers
   of sets of each size and the mean length of a list.
 
-Lists are scanned without forming all pairs. In each list one member, chosen by a hash, is
-compared to the others; links are verified on the whole sets. Members that are joined by
-then, in whatever list, need no further comparison with each other, so the lists that matter
-shrink fast; after some rounds the few pairs left across different components are compared
-as they stand. Nothing is skipped: a pair is left out only if both are known to be in one
-component. Links between the members of a component are counted afterwards, in blocks of
+Lists are scanned without forming all pairs. In each list one member, chosen by a hash
+(six in a long list), is paired with the others; pairs that share k lists are verified on the whole sets. Members that
+are joined by then, in whatever list, need no further comparison with each other, so the lists
+that matter shrink fast; once they don't, the pairs left across different components are
+counted as they stand, and those that share k lists verified. Nothing is skipped: a pair is
+left out only if both are known to be in one component, or share too few keys to be linked. Links between the members of a component are counted afterwards, in blocks of
 bounded size, without writing pairs.
 
 Sets travel as sorted 64-bit fingerprints of shingles, and a class is known by the 64-bit
@@ -30,7 +31,7 @@ larger than any; a component of nulls only has a null component_id. Ties: the le
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,15 @@ REPORTED = 3
 LIGHT_SIZES = 64
 BUCKET_KEYS = 2_500_000
 LEAST_BUCKETS = 8
-HELD_KEYS = 2 << 20
+HELD_KEYS = 1 << 20
 ROUNDS = 6
-#: Pairs are compared as they stand once they are at most so many for each key.
+#: Pairs are compared as they stand once they are at most so many for each key, or a round leaves so many of them.
 PAIRS_PER_KEY = 2
+LEFT = 0.9
+#: Members that a longer list's others are paired with at once, so that large groups join up in few rounds.
+LONG_LIST, LONG_LIST_HUBS = 64, 6
 BLOCK_SETS = 512
+PRUNINGS = 2
 BLOCK_SHINGLES = 500_000
 #: Columns of a block's incidence matrix that are multiplied at once.
 COLUMNS = 8192
@@ -89,6 +94,11 @@ def class_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, made, np.uint64(0)).view(np.int64)
 
 
+def shared_keys(size: Column | np.ndarray) -> Column | np.ndarray:
+    """Shingles that a set's prefix is made to share with every linked set at least as large."""
+    return 1 + size // 16 if isinstance(size, np.ndarray) else 1 + F.floor(size / 16)
+
+
 class Seen:
     """Classes that a task has met; says which rows are the first of their class."""
 
@@ -129,7 +139,7 @@ def _describe(id_type: pa.DataType):
                 size += len(held[-1])
                 columns = [part.column("doc_id"), part.column("_text"), pa.array(nodes), pa.array(np.diff(starts), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int64())], schema=schema)
-                if size >= 4 * HELD_KEYS:
+                if size >= HELD_KEYS:
                     yield report()
                     held.clear()
                     size = 0
@@ -159,7 +169,7 @@ def _keys(shingles: np.ndarray, starts: np.ndarray, rows: np.ndarray, common: np
     shingles, rows = shingles[order], rows[order]
     place = np.arange(len(rows)) - starts[rows]
     sizes = np.diff(starts)
-    prefix = sizes - needed(sizes) + 1
+    prefix = sizes - needed(sizes) + shared_keys(sizes)
     single = (4 * sizes > 3 * light) & (sizes > 2)
     pick = single[rows] & (place < prefix[rows])
     out_rows, out = [rows[pick]], [mix(shingles[pick])]
@@ -247,20 +257,44 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sets, those that link."""
+    """Of rows sorted by group, each group's hub first: the members that link to the hub."""
+    hub = np.zeros(0, dtype=np.uint64)
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
-        for k, (a, b) in enumerate(zip(batch.column("left"), batch.column("right"))):
-            a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            keep[k] = 4 * both >= 3 * (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
+        for k, (member, packed) in enumerate(zip(batch.column("member").to_pylist(), batch.column("shingles"))):
+            own = np.frombuffer(packed.as_buffer(), dtype=np.uint64)
+            if not member:
+                # Copied, as the batch goes before the group's other members may come.
+                hub = own.copy()
+                continue
+            both = int((own[np.minimum(np.searchsorted(own, hub), len(own) - 1)] == hub).sum())
+            keep[k] = 4 * both >= 3 * (len(own) + len(hub) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("node")], ["u", "v"]).filter(pa.array(keep))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("right"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right").mapInArrow(_linked, "u long, v long")
+    """The pairs whose sets link. Sets travel once per pair; a node with many pairs is cut into groups of its own."""
+    groups_ = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("groups"))
+    members = pairs.join(groups_, "u").select("u", F.pmod(F.xxhash64("v"), "groups").alias("group"), F.lit(1).alias("member"), F.col("v").alias("node"))
+    hubs = groups_.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"), F.lit(0).alias("member"), F.col("u").alias("node"))
+    rows = cut_lineage(members.unionByName(hubs))
+    rows = bounded_broadcast(rows, rows.count()).join(sets, "node")
+    rows = rows.repartition("u", "group").sortWithinPartitions("u", "group", "member", "node")
+    return rows.select("u", "member", "node", "shingles").mapInArrow(_linked, "u long, v long")
+
+
+def _pruned(lists: DataFrame, light: int) -> DataFrame:
+    """The lists without the heavy sets that share too few keys to be linked, and without lists of a single set.
+
+    Who goes shortens lists, so it is done again.
+    """
+    for _ in range(PRUNINGS):
+        enough = (F.max("n") <= light) | (F.count("*") >= shared_keys(F.ceil(3 * F.max("n") / 4)))
+        kept = lists.groupBy("node").agg(enough.alias("enough")).where("enough").select("node")
+        lists = lists.join(kept, "node")
+        several = lists.groupBy("key").count().where("count > 1").select("key")
+        lists = cut_lineage(lists.join(several, "key"))
+    return lists
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -268,12 +302,24 @@ def _alike(a: Column, b: Column) -> Column:
     return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & a.isNotNull()
 
 
-def _hub_pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Each list's members against one of them, chosen by a hash, as far as they are in other components."""
-    chosen = F.struct(F.xxhash64(F.lit(round_), "node").alias("_order"), F.col("node").alias("v"), F.col("n").alias("_n"), F.col("component").alias("_component"))
-    hubs = lists.groupBy("key").agg(F.min(chosen).alias("hub")).select("key", "hub.*")
+def _enough(light: int, slack: int = 0) -> Column:
+    """Whether a pair is on as many lists as linked sets of its sizes are."""
+    need = F.when(F.max(F.greatest("n", "_n")) <= light, 1).otherwise(shared_keys(F.min(F.least("n", "_n"))) - slack)
+    return F.count("*") >= need
+
+
+def _hub_pairs(lists: DataFrame, round_: int, light: int) -> DataFrame:
+    """Each list's members with one of them, or with some if it is long, chosen by hashes, as far as they are in other components."""
+    def first(k: int) -> Column:
+        order = F.xxhash64(F.lit(round_), F.lit(k), "node").alias("_order")
+        return F.min(F.struct(order, F.col("node").alias("v"), F.col("n").alias("_n"), F.col("component").alias("_component")))
+
+    several = F.when(F.count("*") > LONG_LIST, LONG_LIST_HUBS).otherwise(1)
+    hubs = lists.groupBy("key").agg(F.slice(F.array(*map(first, range(LONG_LIST_HUBS))), 1, several).alias("hubs"))
+    hubs = hubs.select("key", F.explode("hubs").alias("hub")).select("key", "hub.*").drop("_order")
     pairs = lists.join(hubs, "key").where((F.col("component") != F.col("_component")) & _alike(F.col("n"), F.col("_n")))
-    return pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    pairs = pairs.groupBy(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).agg(_enough(light).alias("enough"))
+    return pairs.where("enough").drop("enough")
 
 
 def _left_over(lists: DataFrame) -> tuple[DataFrame, int, int]:
@@ -285,11 +331,11 @@ def _left_over(lists: DataFrame) -> tuple[DataFrame, int, int]:
     return left.drop("m", "mm"), members, int(pairs or 0)
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components."""
+def _across(lists: DataFrame, light: int) -> DataFrame:
+    """All pairs of different components that are on enough lists; one less, as two keys of a set may be taken for one."""
     other = lists.select("key", F.col("node").alias("v"), F.col("n").alias("_n"), F.col("component").alias("_component"))
     pairs = lists.join(other, "key").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("_component")) & _alike(F.col("n"), F.col("_n")))
-    return pairs.select(F.col("node").alias("u"), "v").distinct()
+    return pairs.groupBy(F.col("node").alias("u"), "v").agg(_enough(light, 1).alias("enough")).where("enough").drop("enough")
 
 
 def _relabel(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -372,10 +418,10 @@ def groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
     )
     described = cut_lineage(described)
     rows = described.where(F.col("node").isNotNull()).select("doc_id", "_text", "node", "n")
-    classes = rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("_text").alias("_text"), F.count("*").alias("copies")
-    )
-    classes = cut_lineage(classes)
+    # One row stands for the class: of those with its least id, the one with the least text.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_text"))
+    classes = rows.where("n > 0").groupBy("node").agg(first.alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = cut_lineage(classes.select("node", F.col("first.doc_id").alias("least_id"), F.col("first._text").alias("_text"), "n", "copies"))
 
     common, times, mean_list = _common(described)
     shared = spark.sparkContext.broadcast((common, times))
@@ -384,14 +430,8 @@ def groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
     light = boundary(sizes, mean_list / max(total, 1))
     buckets = 1 << max(LEAST_BUCKETS - 1, total // (4 * BUCKET_KEYS)).bit_length()
     posted = texts.mapInArrow(_post(buckets, light, shared), "bucket long, nodes binary, sizes binary, counts binary, keys binary")
-    lists = cut_lineage(posted.groupBy("bucket").applyInArrow(_lists, "key long, node long, n long"))
-
-    wanted = cut_lineage(lists.select("node").distinct().join(classes.select("node", "_text"), "node").select("_text"))
-    wanted = bounded_broadcast(wanted, wanted.count())
-    sets = texts.join(wanted, "_text", "left_semi").mapInArrow(by_chunk(_sets), "node long, shingles binary").dropDuplicates(["node"])
-    sets = cut_lineage(sets)
-
-    found, _ = _link(lists, sets)
+    lists = _pruned(cut_lineage(posted.groupBy("bucket").applyInArrow(_lists, "key long, node long, n long")), light)
+    found, sets = _link(lists, light, lambda nodes: _class_sets(texts, nodes.join(classes, "node")))
     per_class = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per_class = per_class.join(per_class.groupBy("component").agg(F.min("least_id").alias("component_id")), "component")
     told = ["node", "component", "component_id"]
@@ -406,6 +446,16 @@ def groups(docs: DataFrame, count_links: bool = False) -> DataFrame:
     return filled.select(*columns).unionAll(empty.select(*columns))
 
 
+def _class_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, shingles: the sets of some classes, each made again from the text that stands for it."""
+    wanted = cut_lineage(classes.select(F.col("least_id").alias("_id"), F.col("_text").alias("_first")))
+    n = wanted.count()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_first"))
+    sets = cut_lineage(texts.join(bounded_broadcast(wanted, n), same, "left_semi").mapInArrow(by_chunk(_sets), "node long, shingles binary"))
+    # Only rows that are repeated with their id can be there twice.
+    return sets if sets.count() == n else cut_lineage(sets.dropDuplicates(["node"]))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (a set's fingerprint, null if empty) and n_links for every row."""
     found = groups(docs, count_links=True)
@@ -452,18 +502,24 @@ def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return common[order], times[order], sum(t["pairs"] for t in tiers if t["tier"] < least)
 
 
-def _link(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of the classes, and links that make them up."""
+def _link(lists: DataFrame, light: int, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Components of the classes, and the sets of all classes that were compared; sets_of makes those of some nodes."""
     lists = lists.withColumn("component", F.col("node"))
-    links = found = None
+    links = found = sets = None
+    before = math.inf
     for round_ in range(ROUNDS + 1):
         left, members, pairs = _left_over(lists)
         if found is not None and not members:
             break
-        last = round_ == ROUNDS or pairs <= PAIRS_PER_KEY * members
-        made = cut_lineage(_verify(_across(left) if last else _hub_pairs(left, round_), sets))
+        last = round_ == ROUNDS or pairs <= PAIRS_PER_KEY * members or pairs > LEFT * before
+        before = pairs
+        tried = cut_lineage(_across(left, light) if last else _hub_pairs(left, round_, light))
+        nodes = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        more = sets_of(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"))
+        sets = more if sets is None else sets.unionByName(more)
+        made = cut_lineage(_verify(tried, sets))
         links = made if links is None else links.unionByName(made)
         found, lists = _relabel(left, links)
         if last:
             break
-    return found, links
+    return found, sets
