@@ -54,7 +54,7 @@ def frame(spark, rows):
 def test_join_equals_all_pairs(spark, monkeypatch, tight):
     if tight:
         # Small bounds take the paths that large groups take.
-        for name, value in {"BLOCK_SETS": 4, "COLUMNS": 16, "LEAST_COMMON": 4, "REPORTED": 2, "HELD_KEYS": 50, "PAIRS_PER_KEY": 0, "ROUNDS": 2}.items():
+        for name, value in {"BLOCK_SETS": 4, "COLUMNS": 16, "LEAST_COMMON": 4, "REPORTED": 2, "HELD_KEYS": 50, "PAIRS_PER_KEY": 0, "ROUNDS": 2, "LONG_LIST": 5}.items():
             monkeypatch.setattr(jaccard, name, value)
     rows = fixture()
     found = jaccard.jaccard_components(frame(spark, rows)).collect()
