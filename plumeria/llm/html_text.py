@@ -53,6 +53,8 @@ IMPLIED_ENDS = {
     "rt": (("rt", "rp"), ("ruby",)),
     "rp": (("rt", "rp"), ("ruby",)),
 }
+#: A head that is left open goes on with these; any other start tag, and text, ends it.
+HEAD_PARTS = frozenset("head title meta link style script base basefont bgsound template noscript noframes".split())
 #: An end tag finds no element beyond these.
 SCOPE = frozenset("table td th caption template html".split())
 TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption colgroup".split())
@@ -155,11 +157,18 @@ def parse(html: str) -> Node:
         stack[-1].children.append(node)
         stack.append(node)
 
+    def end_head() -> None:
+        while stack[-1].tag == "head":
+            stack.pop()
+
     for kind, data, attributes in tokens(html):
         top = stack[-1]
         if kind in ("text", "raw"):
             if kind == "text" and "&" in data:
                 data = unescape(data)
+            if kind == "text" and top.tag == "head" and _SPACES.sub("", data):
+                end_head()
+                top = stack[-1]
             if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not data.strip():
                 continue
             top.children.append(data)
@@ -175,11 +184,11 @@ def parse(html: str) -> Node:
                 else:
                     root.attributes.update(attributes)
                 continue
+            if tag not in HEAD_PARTS:
+                end_head()
             if tag in ENDS_PARAGRAPH or tag == "p":
                 if stack[-1].tag != "html" and stack[-1].tag not in SCOPE:
                     close_to(("p",), SCOPE)
-                if len(stack) > 1 and stack[1].tag == "head":
-                    del stack[1:]
             if tag in IMPLIED_ENDS:
                 close_to(*IMPLIED_ENDS[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):

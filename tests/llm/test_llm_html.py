@@ -34,6 +34,9 @@ CASES = {
     "definition": ("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "a\n  b\nc\n  d"),
     "comment": ("a<!-->b<!-- x -- > y -->c<!-- open", "abc"),
     "case": ("<P>a</P><SCRIPT>x</ScRipt><UL><LI>b</UL>", "a\n\n- b"),
+    "text ends an open head": ("<head><title>T</title>Hello <b>world</b><p>x", "Hello world\n\nx"),
+    "inline element ends an open head": ("<head> <meta charset=utf-8>\n<a href=u>link</a> y<style>p{}</style>z", "link yz"),
+    "head goes on": ("<head><title>T</title> <script>s</script><link rel=x><noscript><p>n</p></noscript><template>t<b>u</b></template></head>x", "x"),
     "empty": ("", ""),
     "nothing shown": ("<script>x</script>", ""),
 }
