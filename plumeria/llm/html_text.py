@@ -5,7 +5,9 @@
 missing table parts, ends without a start, void elements, raw text, unfinished tags and
 comments. `render` walks the tree: it leaves out what isn't shown (head, scripts, templates,
 `hidden`, `display:none` and `visibility:hidden` in style attributes and in simple rules of
-style sheets, closed details but for their summary, closed dialogs), collapses white space
+style sheets, closed details but for their summary, closed dialogs; of rules the important, then
+the more specific, then the later one wins, and rules for media other than a screen of SCREEN
+pixels don't apply), collapses white space
 outside `pre`, puts blocks on lines of their own with a blank line around paragraphs,
 headings, lists and tables, writes list items with bullets or numbers and nested indents, and
 aligns the cells of table rows in columns.
@@ -62,12 +64,18 @@ BULLETS = ("-", "*", "+")
 CELL_GAP = "  "
 MOST_SPAN = 1000
 
+#: Width and height in pixels that rules for screens are read for.
+SCREEN = {"width": 1280, "height": 720}
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s=>/\"'][^\s=>/]*|[\"'=][^\s=>/]*)(?:\s*=\s*([\"']|[^\s>]+)?)?")
 _TAG_SKIP = re.compile(r"[\s/]*")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_NO_SHOW = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHOWN = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)(?:\s+[\w-]+)*\s*(!\s*important)?", re.I)
+_NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_PIECE = re.compile(r"([^{};]*)([{};])")
+_QUERY = re.compile(r"(?:(not|only)\s+)?(?:([a-z][a-z-]*)\b)?((?:\s*(?:and\s*)?\([^()]*\))*)")
+_FEATURE = re.compile(r"\(\s*(?:(min|max)-)?(width|height)\s*(:|<=?|>=?)\s*([\d.]+)(px|r?em)\s*\)")
 _SELECTOR = re.compile(r"(?:([a-zA-Z][a-zA-Z0-9]*)|\*)?(?:([.#])([\w-]+))?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
@@ -207,50 +215,135 @@ def parse(html: str) -> Node:
     return root
 
 
-def hidden_rules(sheet: str) -> Iterator[tuple[str | None, str | None, str | None]]:
-    """(tag, `.` or `#`, name) of the simple selectors that a style sheet hides."""
-    for selectors, body in _RULE.findall(sheet):
-        if _NO_SHOW.search(body):
-            for selector in selectors.split(","):
-                found = _SELECTOR.fullmatch(selector.strip())
-                if found and found.group():
-                    yield found.groups()
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on the screen; a query with a feature that isn't known does not."""
+
+    def holds(query: str) -> bool:
+        found = _QUERY.fullmatch(query.strip().lower())
+        if found is None or found[2] == "and":
+            return False
+        told = [_FEATURE.fullmatch(f) for f in re.findall(r"\([^()]*\)", found[3])]
+        if None in told:
+            return False
+        met = found[2] in (None, "all", "screen")
+        for least, side, sign, size, unit in (f.groups() for f in told):
+            size = float(size if size.count(".") < 2 and size != "." else 0) * (1 if unit == "px" else 16)
+            sign = {"min": ">=", "max": "<="}.get(least, sign)
+            met &= {">=": SCREEN[side] >= size, "<=": SCREEN[side] <= size, ">": SCREEN[side] > size, "<": SCREEN[side] < size, ":": SCREEN[side] == size}[sign]
+        return met != (found[1] == "not")
+
+    return not media.strip() or any(holds(q) for q in media.split(","))
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules of a style sheet that apply to the screen; those inside of rules have no selectors."""
+    sheet = _NOTE.sub(" ", sheet)
+    # What is open: whether it applies, and its selectors and declarations if it is a rule.
+    opened: list[tuple[bool, str | None, list[str]]] = [(True, None, [])]
+    for before, mark in _PIECE.findall(sheet + "}" * sheet.count("{")):
+        applies, selectors, body = opened[-1]
+        if mark == "{":
+            name, _, rest = before.strip().partition(" ")
+            name = name.lower()
+            if name.startswith("@media"):
+                opened.append((applies and on_screen(before.strip()[6:]), None, []))
+            elif name.startswith("@"):
+                opened.append((applies and (name == "@layer" or name == "@supports" and not rest.lower().startswith("not")), None, []))
+            else:
+                opened.append((applies, before if selectors is None else "", []))
+            continue
+        if selectors is not None:
+            body.append(before)
+        if mark == "}" and len(opened) > 1:
+            opened.pop()
+            if applies and selectors:
+                yield selectors, ";".join(body)
+
+
+def declared(body: str) -> Iterator[tuple[str, str, bool]]:
+    """(display or visibility, value, whether important) of a list of declarations."""
+    for name, value, important in _SHOWN.findall(_NOTE.sub(" ", body) if "/*" in body else body):
+        yield name.lower(), value.lower(), bool(important)
 
 
 class Page:
-    """What is hidden on a page by rules of its style sheets."""
+    """What is hidden on a page by its attributes and by rules of its style sheets."""
 
     def __init__(self, root: Node) -> None:
-        self.tags, self.named = set(), set()
+        #: By (tag, `.` or `#`, name): for each property the weight and the value of its strongest rule.
+        self.rules: dict[tuple[str | None, str | None, str | None], dict[str, tuple[tuple, str]]] = {}
+        self.order = 0
+        #: Elements that are visible, or hold one that is, though they may stand in one that is not.
+        self.reveals: set[int] = set()
+        nodes, above = [root], [0]
+        for k, node in enumerate(nodes):
+            for child in node.children:
+                if isinstance(child, Node):
+                    nodes.append(child)
+                    above.append(k)
+        for node in self._sheets(root):
+            self._read("".join(x for x in node.children if isinstance(x, str)))
+        shown = any(rule["visibility"][1] not in ("hidden", "collapse") for rule in self.rules.values() if "visibility" in rule)
+        if shown or any("visibility" in n.attributes.get("style", "").lower() for n in nodes if n.attributes):
+            for k in range(len(nodes) - 1, -1, -1):
+                if id(nodes[k]) in self.reveals or self.shows(nodes[k])[1]:
+                    self.reveals |= {id(nodes[k]), id(nodes[above[k]])}
+
+    @staticmethod
+    def _sheets(root: Node) -> Iterator[Node]:
         todo = [root]
         while todo:
             node = todo.pop()
-            for child in node.children:
-                if isinstance(child, Node):
-                    if child.tag == "style":
-                        for tag, mark, name in hidden_rules("".join(x for x in child.children if isinstance(x, str))):
-                            if name:
-                                self.named.add((tag and tag.lower(), mark, name))
-                            elif tag:
-                                self.tags.add(tag.lower())
-                    else:
-                        todo.append(child)
-
-    def shows(self, node: Node) -> bool:
-        if node.tag in HIDDEN or node.tag in self.tags:
-            return False
+            if node.tag == "style":
+                if on_screen(node.attributes.get("media", "")):
+                    yield node
+            else:
+                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def _read(self, sheet: str) -> None:
+        for selectors, body in style_rules(sheet):
+            told = list(declared(body))
+            for selector in selectors.split(",") if told else ():
+                found = _SELECTOR.fullmatch(selector.strip())
+                if not found or not found.group() and selector.strip() != "*":
+                    continue
+                tag, mark, name = found.groups()
+                rule = self.rules.setdefault((tag and tag.lower(), mark, name), {})
+                for key, value, important in told:
+                    # Rules come in order, so of equal ones the later wins.
+                    self.order += 1
+                    weight = (important, mark == "#", mark == ".", tag is not None, self.order)
+                    if key not in rule or weight > rule[key][0]:
+                        rule[key] = weight, value
+
+    def shows(self, node: Node) -> tuple[bool, bool | None]:
+        """Whether an element is displayed, and whether it is visible; None is as visible as what it stands in."""
+        if node.tag in HIDDEN:
+            return False, None
         own = node.attributes
-        if not own:
-            return node.tag != "dialog"
-        if "hidden" in own or "style" in own and _NO_SHOW.search(own["style"]):
-            return False
-        if node.tag == "dialog" and "open" not in own or node.tag == "input" and own.get("type", "").lower() == "hidden":
-            return False
-        if self.named:
-            names = [("#", own["id"])] if "id" in own else []
+        if not own and not self.rules:
+            return node.tag != "dialog", None
+        best: dict[str, tuple[tuple, str]] = {}
+        if "hidden" in own or node.tag == "dialog" and "open" not in own:
+            best["display"] = (), "none"
+        if self.rules:
+            names = [(None, None)]
+            names += [("#", own["id"])] if "id" in own else []
             names += [(".", c) for c in own.get("class", "").split()]
-            return not any((tag, *n) in self.named for n in names for tag in (None, node.tag))
-        return True
+            for rule in (self.rules.get((tag, *n)) for n in names for tag in (None, node.tag)):
+                for key, told in rule.items() if rule else ():
+                    if key not in best or told[0] > best[key][0]:
+                        best[key] = told
+        for key, value, important in declared(own["style"]) if "style" in own else ():
+            # A style attribute is stronger than any selector.
+            weight = (important, 2)
+            if key not in best or weight >= best[key][0]:
+                best[key] = weight, value
+        displayed = best["display"][1] != "none" if "display" in best else True
+        if node.tag == "input" and own.get("type", "").lower() == "hidden":
+            displayed = False
+        seen = best["visibility"][1] if "visibility" in best else "inherit"
+        return displayed, None if seen in ("inherit", "unset", "revert") else seen not in ("hidden", "collapse")
 
 
 class Canvas:
@@ -358,6 +451,8 @@ def render(root: Node) -> str:
         act, node, saved = todo.pop()
         canvas = canvases[-1]
         if isinstance(node, str):
+            if saved:
+                continue
             if kept:
                 canvas.kept(node)
             elif node:
@@ -391,7 +486,10 @@ def render(root: Node) -> str:
                 if tag in SPACED and not (lists and tag in ("ul", "ol", "dl")):
                     canvas.blank = True
             continue
-        if not page.shows(node):
+        displayed, visible = page.shows(node)
+        # Of what opens, `saved` tells whether it stands in something invisible.
+        unseen = bool(saved) if visible is None else not visible
+        if not displayed or unseen and id(node) not in page.reveals:
             continue
         children = node.children
         if tag == "details" and "open" not in node.attributes:
@@ -454,13 +552,14 @@ def render(root: Node) -> str:
                 else:
                     canvas.marker = f"{own[0]}. "
                     own[0] += 1
+                canvas.marker = "" if unseen else canvas.marker
                 saved, canvas.indent = canvas.indent, canvas.indent + " " * len(canvas.marker)
             elif tag in ("blockquote", "dd"):
                 saved, canvas.indent = canvas.indent, canvas.indent + "  "
         elif tag == "textarea":
             children = [c for c in children if isinstance(c, str)]
         todo.append(("close", node, saved))
-        todo += [("open", c, None) for c in reversed(children)]
+        todo += [("open", c, unseen) for c in reversed(children)]
     while len(canvases) > 1:
         canvases.pop()
     return "\n".join(canvases[0].done())

@@ -37,6 +37,9 @@ CASES = {
     "text ends an open head": ("<head><title>T</title>Hello <b>world</b><p>x", "Hello world\n\nx"),
     "inline element ends an open head": ("<head> <meta charset=utf-8>\n<a href=u>link</a> y<style>p{}</style>z", "link yz"),
     "head goes on": ("<head><title>T</title> <script>s</script><link rel=x><noscript><p>n</p></noscript><template>t<b>u</b></template></head>x", "x"),
+    "rules for other media": ("<style>@import 'x'; @media print{.a{display:none}} @media (max-width:600px){.b{display:none}} @media screen and (min-width:30em){.c{display:none}} @media not print{.d{display:none}} /* .e{display:none} */ @keyframes k{from{visibility:hidden}}</style><style media=print>.e{display:none}</style><p class=a>a<p class=b>b<p class=c>c<p class=d>d<p class=e>e", "a\n\nb\n\ne"),
+    "later rules": ("<style>.a{display:none}.a{display:block}p{display:none}.b{display:block}.c{display:none!important}#c{display:block}.d{display:none}</style><p class=a>a<p class=b>b<p class=c id=c>c<p class=d style='display:block'>d<p>e<div hidden class=a>f</div>", "a\n\nb\n\nd\n\nf"),
+    "visible inside": ("<style>.v{visibility:hidden}.w{visibility:visible}</style><div class=v>a <b class=w>b <i>c</i></b> d<p>e</div><ul style='visibility:hidden'><li>f<li style='visibility:visible'>g</ul>", "b c\n\n- g"),
     "empty": ("", ""),
     "nothing shown": ("<script>x</script>", ""),
 }
