@@ -10,8 +10,9 @@ precision.
 
 The number of filters grows with the number of vectors, so a filter holds about as many
 unrelated vectors at any size; the threshold gives a vector `FILTERS` of them on average in
-each of `CODES` independent codes. Close vectors miss each other only if they share none in
-any code (recall is measured in the tests).
+each of `CODES` independent codes for every block of a code above one, as more blocks find fewer
+of the close pairs. A vector that no filter of a code reaches gets the best few of that code.
+Close vectors miss each other only if they share none in any code (recall is measured in the tests, for two and three blocks).
 
 Equal vectors of one label form a class and are compared as one. A pair is judged in the
 first filter that both share, so links are counted once without writing pairs; a filter with
@@ -37,7 +38,7 @@ from plumeria.session import cut_lineage
 
 THRESHOLD = 0.98
 #: Codes, each over another order of the dimensions: the number of filters of a vector varies
-#: with its norms in a code's blocks, so no single code suits all vectors.
+#: with its norms in a code's blocks, so no single code suits all vectors. A code of three blocks has twice as many.
 CODES = 8
 #: Filters of a vector in a code, on average; unrelated vectors of a label that a filter holds.
 FILTERS = 6
@@ -50,12 +51,16 @@ DECODED = 256
 COMPARED = 1 << 15
 
 
-def codewords(dimension: int, filters: int, seed: int = SEED) -> list[np.ndarray]:
-    """Codewords of each block, as few blocks as keep a block's codewords few; all filters have length 1."""
+def block_count(dimension: int, filters: int) -> int:
     blocks = 1
     while filters ** (1 / blocks) > MOST_CODEWORDS and blocks < dimension:
         blocks += 1
-    blocks = min(max(blocks, 2), dimension)
+    return min(max(blocks, 2), dimension)
+
+
+def codewords(dimension: int, filters: int, seed: int = SEED) -> list[np.ndarray]:
+    """Codewords of each block, as few blocks as keep a block's codewords few; all filters have length 1."""
+    blocks = block_count(dimension, filters)
     each = max(2, math.ceil(filters ** (1 / blocks)))
     random = np.random.default_rng([seed, dimension, each])
     out = []
@@ -109,6 +114,34 @@ def decode(x: np.ndarray, code: list[np.ndarray], threshold: float, most: float
     return rows, filters
 
 
+def best_filters(x: np.ndarray, code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and filter of all filters made of the best two codewords of each block."""
+    filters, at = np.zeros((len(x), 1), dtype=np.int64), 0
+    for words in code:
+        best = np.argsort(-(x[:, at : at + words.shape[1]] @ words.T), axis=1, kind="stable")[:, :2]
+        filters = (filters[:, :, None] * len(words) + best[:, None, :]).reshape(len(x), filters.shape[1] * best.shape[1])
+        at += words.shape[1]
+    return np.repeat(np.arange(len(x)), filters.shape[1]), filters.reshape(-1)
+
+
+def _codes(dimension: int, filters: int) -> list[tuple[np.ndarray, list[np.ndarray], float]]:
+    return [_code(dimension, filters, k) for k in range(CODES * max(1, block_count(dimension, filters) - 1))]
+
+
+def filters_of(unit: np.ndarray, codes: list[tuple[np.ndarray, list[np.ndarray], float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and filter of unit vectors over all codes, sorted; every vector has some of each code."""
+    rows, found = [], []
+    for k, (order, code, threshold) in enumerate(codes):
+        r, f = decode(unit[:, order], code, threshold)
+        without = np.setdiff1d(np.arange(len(unit)), r)
+        best, g = best_filters(unit[without][:, order], code)
+        rows += [r, without[best]]
+        found += [f + (k << 48), g + (k << 48)]
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    sort = np.lexsort((found, rows))
+    return rows[sort], found[sort]
+
+
 def _code(dimension: int, filters: int, number: int) -> tuple[np.ndarray, list[np.ndarray], float]:
     """The order of dimensions of a code, its codewords and its threshold."""
     code = codewords(dimension, filters, SEED + number)
@@ -127,7 +160,7 @@ def _decoded(filters: int):
             sizes = np.array([len(v) for v in vectors])
             for dimension in np.unique(sizes).tolist():
                 if dimension not in codes:
-                    codes[dimension] = [_code(dimension, filters, k) for k in range(CODES)]
+                    codes[dimension] = _codes(dimension, filters)
                 own = np.flatnonzero(sizes == dimension)
                 for start in range(0, len(own), DECODED):
                     at = own[start : start + DECODED]
@@ -135,18 +168,12 @@ def _decoded(filters: int):
                     # Scaled first: squares of large or small numbers would not be finite or not be zero.
                     unit = raw / np.abs(raw).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    rows, found = [], []
-                    for k, (order, code, threshold) in enumerate(codes[dimension]):
-                        r, f = decode(unit[:, order], code, threshold)
-                        rows.append(r)
-                        found.append(f + (k << 48))
-                    rows, found = np.concatenate(rows), np.concatenate(found)
-                    sort = np.lexsort((found, rows))
-                    ends = pa.array(np.searchsorted(rows[sort], np.arange(len(at) + 1)), pa.int32())
+                    rows, found = filters_of(unit, codes[dimension])
+                    ends = pa.array(np.searchsorted(rows, np.arange(len(at) + 1)), pa.int32())
                     take = pa.array(at)
                     columns = [
                         batch.column("label").take(take), pa.array(np.full(len(at), dimension), pa.int32()), batch.column("node").take(take),
-                        batch.column("copies").take(take), pa.array([x.tobytes() for x in unit], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(found[sort])),
+                        batch.column("copies").take(take), pa.array([x.tobytes() for x in unit], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(found)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

@@ -74,3 +74,19 @@ def test_decoding_lists_exactly_the_filters_above_the_threshold():
     rows, filters = capdedup.decode(x, code, 0.4)
     expected = np.argwhere(x @ directions.T >= 0.4)
     assert list(zip(rows.tolist(), filters.tolist())) == [tuple(p) for p in expected.tolist()]
+
+
+def test_recall_of_three_blocks():
+    """Above 2 ** 22 filters a code has three blocks; uneven vectors have no filter above some thresholds."""
+    random = np.random.default_rng(5)
+    one = random.standard_normal((300, 64)) * np.where(random.random((300, 64)) < 0.5, 0.2, 1.5)
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = random.standard_normal(one.shape)
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    two = 0.9801 * one + np.sqrt(1 - 0.9801**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    codes = capdedup._codes(64, 1 << 23)
+    assert len(codes[0][1]) == 3
+    sides = [capdedup.filters_of(v, codes) for v in (one, two)]
+    sets = [[set(f[r == k].tolist()) for k in range(300)] for r, f in sides]
+    assert all({f >> 48 for f in own} == set(range(len(codes))) for own in sets[0])
+    assert np.mean([bool(a & b) for a, b in zip(*sets)]) >= 0.996
