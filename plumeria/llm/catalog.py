@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables with production parameters."""
+"""The queries of the operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumeria.llm import bloom_lm, capdedup, chat, decontaminate, html_text, jaccard, langid, mixing, pii, toxicity
+from plumeria.llm import alignment, bloom_lm, capdedup, chat, decontaminate, html_text, jaccard, langid, merkle, mixing, pii, repeats, toxicity
 from plumeria.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.digests(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(table(spark, folder, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_html_extraction,
@@ -64,5 +76,8 @@ def queries() -> dict[str, Query]:
         op8_chat_formatting,
         op9_pii,
         op10_language_id,
+        op11_token_alignment,
+        op12_merkle_manifest,
+        op13_substring_dedup,
     )
     return {f.__name__: f for f in found}

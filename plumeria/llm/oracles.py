@@ -69,9 +69,59 @@ FROM judged WHERE 4 * m >= 3 * (both_sizes - m)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(m AS DOUBLE) / CAST(both_sizes - m AS DOUBLE) DESC, start) = 1
 """
 
+#: A field of a row with its length in bytes; crc32 of an id as text; levels of a tree, from a list of its leaves.
+_TOLD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  lambda a, c: list_reduce(list_prepend(xor(a, c), CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_UP = "[sha256(array_to_string(h[8 * i + 1:8 * i + 8], '')) FOR i IN range(CAST(ceil(len(h) / 8.0) AS BIGINT))]"
+_STEP = """array_to_string(h[8 * (p // 8) + 1:p], '') || '|' || array_to_string(h[p + 2:8 * (p // 8) + 8], '')"""
+
+MERKLE = f"""
+WITH RECURSIVE read AS (
+  SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS found FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256({' || '.join(_TOLD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS leaf,
+    sha256({' || '.join(_TOLD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'found'))}) AS found_leaf,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM read),
+levels(lang, level, h) AS (
+  SELECT lang, 0, list(leaf ORDER BY doc_id) FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_UP} FROM levels WHERE len(h) > 1),
+subs AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM levels WHERE len(h) = 1),
+top(level, h) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subs
+  UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(h) > 1),
+steps AS (
+  SELECT doc_id, level, {_STEP} AS step FROM (
+    SELECT doc_id, level, h, leaves.place // CAST(pow(8, level) AS BIGINT) AS p
+    FROM leaves JOIN levels ON leaves.lang IS NOT DISTINCT FROM levels.lang WHERE len(h) > 1)
+  UNION ALL SELECT doc_id, 1000 + level, {_STEP} FROM (
+    SELECT doc_id, level, h, subs.place // CAST(pow(8, level) AS BIGINT) AS p
+    FROM leaves JOIN subs ON leaves.lang IS NOT DISTINCT FROM subs.lang CROSS JOIN top WHERE len(h) > 1)),
+proofs AS (SELECT doc_id, list(step ORDER BY level) AS proof FROM steps GROUP BY doc_id),
+folded AS (
+  SELECT leaves.*, sha256(replace(array_to_string(coalesce(proof, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(found_leaf, coalesce(proof, [])), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root
+  FROM leaves LEFT JOIN proofs USING (doc_id))
+SELECT doc_id, leaf, subroot, h[1] AS root, proof_sha256, folded_root, folded_root = h[1] AS verified
+FROM folded JOIN subs ON folded.lang IS NOT DISTINCT FROM subs.lang CROSS JOIN top WHERE len(h) = 1
+"""
+
+REPEATS = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, unnest([array_to_string(w[i:i + 12], ' ') FOR i IN range(1, len(w) - 11)]) AS s FROM words),
+least AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS k FROM windows JOIN least USING (s) WHERE m < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": LEAKS,
     "op3_embedding_near_dedup": EMBEDDINGS,
     "op6_ngram_jaccard_join": JACCARD,
     "op8_chat_formatting": CHAT,
+    "op12_merkle_manifest": MERKLE,
+    "op13_substring_dedup": REPEATS,
 }
