@@ -19,6 +19,12 @@ counted over the corpus:
 
 Both tokenizers' files reach the tasks by a broadcast of at most `MOST_FILE_BYTES` each.
 
+Texts are cut at single spaces between other characters. No token of A crosses such a place, as
+a space before a word belongs to the word; none of B does if no piece has a space behind another
+character, which is checked (else texts stay whole). So every text's tokens are those of its
+segments, each with a space before it, and a task aligns a segment that it has met before only
+once, as long as it holds it.
+
 Nulls and empty texts have no tokens, and zeros everywhere; so have texts whose tokens of A or
 B don't spell the text (B can't tell U+2581 from a space). Strings of special tokens inside
 texts are plain text. Repeated rows count as often as they are there. Ties: all of a B id's
@@ -31,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +67,11 @@ SHARED = 4
 #: Places of a level of the hash for each of its pairs.
 SPREAD = 2
 _B_BITS = 32
-#: Text worked on at once.
+#: Text worked on at once, and segments that a task holds.
 TEXT_BYTES = 1 << 20
+HELD_SEGMENTS = 1 << 19
+#: Segments that are cut as one text.
+JOINED = 64
 
 # How byte-level vocabularies cut texts into words, as published with them.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,20 +139,21 @@ class PieceTokenizer:
         size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(size)]
         self.spelling = Spelling([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, dtype=np.int64) for x in self.model.encode(texts, num_threads=1)]
 
 
-_READY: dict[str, tuple[ByteTokenizer, PieceTokenizer]] = {}
+_READY: dict[str, Segments] = {}
 
 
-def _ready(files: tuple[str, bytes, bytes]) -> tuple[ByteTokenizer, PieceTokenizer]:
+def _ready(files: tuple[str, bytes, bytes]) -> Segments:
     """The tokenizers of these files, made once in a process."""
     name, a, b = files
     if name not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _READY[name] = ByteTokenizer(a), PieceTokenizer(b)
+        _READY[name] = Segments(ByteTokenizer(a), PieceTokenizer(b))
     return _READY[name]
 
 
@@ -159,29 +170,36 @@ def tokenizer_files(spark: SparkSession, byte_file: str, piece_file: str) -> Bro
 class Aligned:
     """The tokens of some texts, one after the other, and where they end together."""
 
-    def __init__(self, texts: pa.Array, a: ByteTokenizer, b: PieceTokenizer) -> None:
+    def __init__(self, texts: pa.Array, a: ByteTokenizer, b: PieceTokenizer, joined: bool = False) -> None:
+        """`joined`: the texts may be cut as one, as no token crosses a space between two of them."""
         n = len(texts)
         data, offsets = text_bytes(texts)
         plain = ["" if x is None else x for x in texts.to_pylist()]
-        own = ([a.ids(" " + x) if x else _NO_IDS for x in plain], [y if x else _NO_IDS for x, y in zip(plain, b.ids(plain))])
         # The bytes of all texts that have any, each with its space.
         size = np.diff(offsets)
         size = size + (size > 0)
-        self.sides = []
+        own = self._joined(plain, size, a, b) if joined and n else None
+        if own is None:
+            lists = [a.ids(" " + x) if x else _NO_IDS for x in plain], [y if x else _NO_IDS for x, y in zip(plain, b.ids(plain))]
+            own = [(np.concatenate([*ids, _NO_IDS]), np.array([len(x) for x in ids], dtype=np.int64)) for ids in lists]
+        sides = []
         good = size > 0
-        for ids, spelling in zip(own, (a.spelling, b.spelling)):
-            counts = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.concatenate([*ids, _NO_IDS])
+        for (flat, counts), spelling in zip(own, (a.spelling, b.spelling)):
             length = spelling.length[flat]
-            ends = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(length)))
             bounds = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(counts)))
-            spelled = spelling.joined(flat)
-            for k in np.flatnonzero(good):
-                at, end = ends[bounds[k]], ends[bounds[k + 1]]
-                good[k] = end - at == size[k] and spelled[at] == 32 and np.array_equal(spelled[at + 1 : end], data[offsets[k] : offsets[k + 1]])
-            self.sides.append((flat, counts, length))
+            fits = good & (_per_text(length, bounds) == size)
+            spelled = spelling.joined(flat[np.repeat(fits, counts)])
+            begin = np.cumsum(np.where(fits, size, 0)) - np.where(fits, size, 0)
+            # What the text says there: its bytes, moved on by the space.
+            expected = np.full(len(spelled), 32, dtype=np.uint8)
+            inner = np.ones(len(spelled), dtype=bool)
+            inner[begin[fits]] = False
+            expected[inner] = data[np.repeat(fits, np.diff(offsets))]
+            wrong = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(spelled != expected)))
+            good = fits & (wrong[begin + np.where(fits, size, 0)] == wrong[begin])
+            sides.append((flat, counts, length))
         kept = []
-        for flat, counts, length in self.sides:
+        for flat, counts, length in sides:
             pick = np.repeat(good, counts)
             kept.append((flat[pick], np.where(good, counts, 0), np.cumsum(length[pick])))
         (self.a, self.n_a, end_a), (self.b, self.n_b, end_b) = kept
@@ -189,8 +207,22 @@ class Aligned:
         self.last_b = np.isin(end_b, end_a, assume_unique=True)
         of_a = np.repeat(np.arange(n), self.n_a)
         self.n_links = np.bincount(of_a[self.last_a], minlength=n)
+        self.good = good
         self.spelling = a.spelling, b.spelling
 
+    @staticmethod
+    def _joined(plain: list[str], size: np.ndarray, a: ByteTokenizer, b: PieceTokenizer) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids and counts of both sides, or None if a token crosses the end of a text."""
+        lines = [" ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
+        ends, out = np.cumsum(size), []
+        for ids, spelling in ((a.ids(" " + " ".join(lines)), a.spelling), (np.concatenate(b.ids(lines)), b.spelling)):
+            reached = np.cumsum(spelling.length[ids])
+            upto = np.searchsorted(reached, ends, side="right")
+            if not len(ids) or reached[-1] != ends[-1] or not np.array_equal(reached[upto - 1], ends):
+                return None
+            out.append((ids, np.diff(upto, prepend=0)))
+        return out
+
     def links(self) -> np.ndarray:
         """The linked ids of each place where tokens end together, as one number."""
         return (self.a[self.last_a] << _B_BITS) | self.b[self.last_b]
@@ -223,6 +255,92 @@ class Aligned:
 
 
 _NO_IDS = np.zeros(0, dtype=np.int64)
+#: A space between other characters.
+_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+
+
+class Segments:
+    """Aligns texts by their segments, and holds what it has found for some of them."""
+
+    def __init__(self, a: ByteTokenizer, b: PieceTokenizer) -> None:
+        self.a, self.b = a, b
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        # Of each segment: tokens of A and of B, links, whether the tokens spell it, and whether it may stand between spaces; then all links.
+        self.told = np.zeros((0, 5), dtype=np.int64)
+        self.links = _NO_IDS
+
+    def _meet(self, segments: list[str]) -> None:
+        plain, odd = [], []
+        for x in segments:
+            (plain if x and x == x.strip() and "▁" not in x else odd).append(x)
+        self._add(plain, self.b.cuts)
+        self._add(odd, False)
+
+    def _add(self, segments: list[str], plain: bool) -> None:
+        if not segments:
+            return
+        made = Aligned(pa.array(segments, pa.large_string()), self.a, self.b, plain)
+        self.number.update(zip(segments, range(len(self.number), len(self.number) + len(segments))))
+        self.groups += made.groups()
+        self.told = np.concatenate((self.told, np.stack((made.n_a, made.n_b, made.n_links, made.good, np.full(len(segments), plain)), axis=1)))
+        self.links = np.concatenate((self.links, made.links()))
+
+    def _numbers(self, segments: list[str]) -> np.ndarray:
+        fresh = [x for x in dict.fromkeys(segments) if x not in self.number]
+        self._meet(fresh)
+        return np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
+
+    def align(self, texts: pa.Array) -> Texts:
+        if len(self.number) > HELD_SEGMENTS:
+            self.forget()
+        whole = [x or "" for x in texts.to_pylist()]
+        cut = [x.split(" ") if x else [] for x in whole]
+        numbers = self._numbers([x for segments in cut for x in segments])
+        bounds = np.cumsum([0, *map(len, cut)])
+        # Where a space has another space or the end of the text beside it, the text is cut with more care.
+        odd = np.flatnonzero(_per_text(1 - self.told[numbers, 4], bounds)).tolist()
+        if odd:
+            parts = [numbers[x:y] for x, y in zip(bounds, bounds[1:])]
+            again = [_CUT.split(whole[k]) if self.b.cuts else [whole[k]] for k in odd]
+            found = np.split(self._numbers([x for segments in again for x in segments]), np.cumsum([*map(len, again)])[:-1])
+            for k, own in zip(odd, found):
+                parts[k] = own
+            numbers, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return Texts(self, numbers, bounds)
+
+
+class Texts:
+    """The alignment of some texts, put together from that of their segments."""
+
+    def __init__(self, known: Segments, segments: np.ndarray, bounds: np.ndarray) -> None:
+        told = known.told[segments]
+        good = _per_text(1 - told[:, 3], bounds) == 0
+        self.n_a, self.n_b, self.n_links = (np.where(good, _per_text(told[:, k], bounds), 0) for k in range(3))
+        self._known, self._bounds, self._good = known, bounds, good
+        # Segments of texts whose tokens don't spell them count for nothing.
+        self._segments, self._counted = segments, np.repeat(good, np.diff(bounds))
+
+    def links(self) -> np.ndarray:
+        """The linked ids of each place where tokens end together, as one number."""
+        segments = self._segments[self._counted]
+        n = self._known.told[segments, 2]
+        begin = np.cumsum(self._known.told[:, 2]) - self._known.told[:, 2]
+        ends = np.cumsum(n)
+        return self._known.links[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[segments] - (ends - n), n)]
+
+    def groups(self) -> list[str]:
+        """Of each text: `a1,a2|b1;a3|b2,b3`."""
+        at, one = self._segments.tolist(), self._known.groups.__getitem__
+        return [";".join(map(one, at[x:y])) if good else "" for x, y, good in zip(self._bounds.tolist(), self._bounds[1:].tolist(), self._good.tolist())]
+
+
+def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(values)))
+    return total[bounds[1:]] - total[bounds[:-1]]
 
 
 def _count(files: Broadcast):
@@ -230,7 +348,7 @@ def _count(files: Broadcast):
     schema = pa.schema([("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _ready(files.value)
+        known = _ready(files.value)
         pairs, counts, held = _NO_IDS, _NO_IDS, []
         size = 0
 
@@ -245,7 +363,7 @@ def _count(files: Broadcast):
 
         for batch in batches:
             for part in chunks(batch, "text", TEXT_BYTES):
-                held.append(Aligned(part.column("text"), a, b).links())
+                held.append(known.align(part.column("text")).links())
                 size += len(held[-1])
                 if size >= HELD_LINKS:
                     pairs, counts = merged()
@@ -422,11 +540,6 @@ def _tables(shared: tuple[str, list[dict], int]) -> Tables:
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(values)))
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
 def _answered(pairs: np.ndarray, bounds: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Of each text: its links with the highest counts, the sum of its links' counts, and the links to look up elsewhere."""
     found, of = np.unique(pairs, return_inverse=True)
@@ -446,7 +559,7 @@ def _align(id_field: pa.Field, files: Broadcast, shared: Broadcast):
     schema = pa.schema([id_field, *((c, pa.int64()) for c in _COUNTS), ("groups", pa.large_string()), ("left", pa.large_binary())])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        made = Aligned(part.column("text"), *_ready(files.value))
+        made = _ready(files.value).align(part.column("text"))
         bounds = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(made.n_links)))
         n_best, count_sum, left = _answered(made.links(), bounds, _tables(shared.value))
         columns = [made.n_a, made.n_b, made.n_links, made.n_links, n_best, count_sum]
