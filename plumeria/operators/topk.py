@@ -2,11 +2,12 @@
 
 ``factored_topk`` ranks one-hot items: a score depends on the item's category
 only, so users are scored against categories and items are joined afterwards.
-``blocked_topk`` ranks dense factor vectors block against block.
+``blocked_topk`` ranks dense factor vectors against blocks of items in the order of their norms.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeria.operators.blocks import block_norms, blocks_within, norm_blocks, norm_of
 from plumeria.session import cut_lineage
 
 ITEM_BLOCK = 8192
+USER_BLOCK = 2048
 USER_BLOCKS_PER_ITEM_BLOCK = 4
 CHUNK_ROWS = 256
 SCORE_DIGITS = 12
@@ -194,15 +197,57 @@ def blocked_topk(
 ) -> DataFrame:
     """Best k items per user by dot product, leaving out ``seen`` (user_id, item_id) pairs.
 
-    ``users`` and ``items`` hold an id and a ``features`` array. A task multiplies
-    one block of users with one block of items, a few hundred users at a time, and
-    returns k rows per user, so neither side is broadcast and no pair is written out. Equal scores, at
-    ``SCORE_DIGITS`` places, are ordered by item id.
+    ``users`` and ``items`` hold an id and a ``features`` array. Items are cut into blocks in
+    falling order of their norms. All users meet the first block; after that a user goes on only
+    to the blocks whose largest norm, times its own, reaches its k-th best score. Users with
+    similar needs share a task, which multiplies them with one block, a few hundred at a time,
+    and returns k rows per user: neither side is broadcast and no pair is written out. Equal
+    scores, at ``SCORE_DIGITS`` places, are ordered by item id.
     """
-    user_blocks, item_blocks = _block_counts(users, items, block)
-    left, right = _pair_blocks(users, items, user_blocks, item_blocks)
+    items = norm_blocks(items.select("item_id", "features", norm_of("features").alias("norm")), "item_id", block, "ib")
+    users = cut_lineage(users.select("user_id", "features", norm_of("features").alias("norm")))
+    norms = block_norms(items, "ib")
+    if not norms:
+        norms = [0.0]
+    n = max(1, math.ceil(users.count() / USER_BLOCK))
+    marks = None
+    if seen is not None:
+        pairs = seen.select("user_id", "item_id").distinct().join(items.select("item_id", "ib"), "item_id")
+        marks = cut_lineage(pairs.groupBy("user_id", "ib").agg(F.collect_list("item_id").alias("marked")))
+    first = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int")).withColumn("ib", F.lit(0))
+    found = _block_best(first, items, marks, k)
+    if len(norms) == 1:
+        return top_per_key(found, ["user_id"], _by_score(), k)
+    found = cut_lineage(top_per_key(found, ["user_id"], _by_score(), k).drop("rank"))
+    left = further_blocks(users, found, norms, k, n)
+    return top_per_key(found.unionByName(_block_best(left, items, marks, k)), ["user_id"], _by_score(), k)
+
+
+def _by_score() -> list[Column]:
+    return [F.col("score").desc(), F.col("item_id")]
+
+
+def further_blocks(users: DataFrame, found: DataFrame, norms: list[float], k: int, user_blocks: int) -> DataFrame:
+    """Users with (ub, ib) for every item block after the first that may hold one of their k best."""
+    kth = found.groupBy("user_id").agg(F.count("*").alias("_n"), F.min("score").alias("_beat"))
+    beat = F.when(F.col("_n") >= k, F.col("_beat"))
+    need = users.join(kth, "user_id", "left").withColumn("_need", blocks_within(F.col("norm"), beat, norms))
+    open_ = need.where("_need > 1").drop("_n", "_beat")
+    # Users that need equally many blocks are together, so that a block goes to few groups.
+    ranged = cut_lineage(open_.repartitionByRange(user_blocks, "_need", "user_id").withColumn("ub", F.spark_partition_id()))
+    return ranged.withColumn("ib", F.explode(F.sequence(F.lit(1), F.col("_need") - 1))).drop("_need")
+
+
+def _block_best(users: DataFrame, items: DataFrame, marks: DataFrame | None, k: int) -> DataFrame:
+    """(user_id, item_id, score): k at most for each row (user, ub, ib) of ``users``, of the items of its block."""
     user_type, item_type = dict(users.dtypes)["user_id"], dict(items.dtypes)["item_id"]
-    left = _with_marks(left, seen, item_blocks, item_type)
+    if marks is None:
+        left = users.withColumn("marked", F.lit(None).cast(f"array<{item_type}>"))
+    else:
+        left = users.join(marks, ["user_id", "ib"], "left")
+    # Named anew, as the block pairs come from the other side.
+    met = users.select(F.col("ub").alias("ub"), F.col("ib").alias("ib")).distinct()
+    right = items.select("item_id", F.col("features").alias("features"), "ib").join(met, "ib")
 
     def best(user_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"user_id": [], "item_id": [], "score": []})]
@@ -230,8 +275,7 @@ def blocked_topk(
         return out[np.isfinite(out["score"])]
 
     pairs = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib"))
-    nearest = pairs.applyInPandas(best, f"user_id {user_type}, item_id {item_type}, score double")
-    return top_per_key(nearest, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)
+    return pairs.applyInPandas(best, f"user_id {user_type}, item_id {item_type}, score double")
 
 
 def blocked_histogram(

@@ -15,7 +15,7 @@ from plumeria.operators import (
     evaluation,
     indexing,
     keyed,
-    products,
+    neighbours,
     profiles,
     projection,
     quality,
@@ -39,7 +39,6 @@ LIKE_DAY = "2024-01-25"
 NEURAL_SPLIT = "1995-06-01"
 NEURAL_END = "1996-12-31"
 MODELS = ["click", "view", "purchase", "signup", "error"]
-CHOSEN_MODELS = ["click", "view", "purchase"]
 WIDE_LOOKBACK = 400
 
 _REGISTRY: dict[str, Query] = {}
@@ -544,7 +543,7 @@ def ncf_daily_metrics(t):
 @_query
 def item_item_cosine(t):
     likes = conversation.distinct_likes(t.conversation_like()).select("user_id", "item_id").distinct()
-    return products.cosine_pairs(likes, "item_id", "user_id")
+    return neighbours.nearest(likes, "item_id", "user_id", 20).withColumn("value", F.round("value", 6))
 
 
 @_query
@@ -665,11 +664,12 @@ def given_category_topk(t):
 
 @_query
 def given_vectors_topk(t):
-    """The ten vectors with the largest dot product, by vectors of one label against all others."""
-    vectors = t.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
-    users = vectors.where("label = 1").select(F.col("vec_id").alias("user_id"), "features")
-    items = vectors.where("label <> 1").select(F.col("vec_id").cast("string").alias("item_id"), "features")
-    return topk.blocked_topk(users, items, 10).select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    """The ten other vectors with the largest dot product, for every vector whose id is divisible by 20, among all."""
+    vectors = t.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    users = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("user_id"), "features")
+    items = vectors.select(F.col("vec_id").cast("string").alias("item_id"), "features")
+    own = users.select("user_id", F.col("user_id").cast("string").alias("item_id"))
+    return topk.blocked_topk(users, items, 10, seen=own).select("user_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 @_query

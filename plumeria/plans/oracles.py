@@ -242,7 +242,7 @@ ORACLES["metric_comparison_dates"] = sql(
 ORACLES["metric_summary_tiles"] = sql(
     f"""SELECT model, metric, {_CHANGE}, CAST(latest_date AS VARCHAR) AS latest_date,
       CAST(previous_date AS VARCHAR) AS previous_date
-    FROM pairs WHERE model IN ('click', 'view', 'purchase')""",
+    FROM pairs""",
     _TILE_ROWS,
     _AGED,
 )
@@ -284,23 +284,22 @@ ORACLES["metric_pivot_by_model"] = sql(
     "SELECT CAST(dt AS VARCHAR) AS dt, "
     + ", ".join(
         f"max({c}) FILTER (model = '{m}') AS {c}_{m}"
-        for m in ("click", "view", "purchase")
+        for m in ("click", "view", "purchase", "signup", "error")
         for c in ("accuracy", "ndcg_k")
     )
     + " FROM model_metrics GROUP BY dt"
 )
-_CHOSEN = "model IN ('click', 'view', 'purchase')"
 ORACLES["metric_history_chart"] = sql(
     "SELECT CAST(bin AS VARCHAR) AS dt, "
     + ", ".join(
         f"{r(f'''max(roc_auc_score) FILTER (model = '{m}')''')} AS roc_auc_score_{m}"
-        for m in ("click", "view", "purchase")
+        for m in ("click", "view", "purchase", "signup", "error")
     )
     + " FROM spine LEFT JOIN means USING (model, bin) GROUP BY bin",
     *_resample(
         "week",
         ["roc_auc_score"],
-        f"{_CHOSEN} AND dt > (SELECT max(dt) - INTERVAL 1 MONTH FROM model_metrics WHERE {_CHOSEN})",
+        "dt > (SELECT max(dt) - INTERVAL 1 MONTH FROM model_metrics)",
     ),
 )
 ORACLES["metric_range_selector"] = sql(
@@ -651,11 +650,14 @@ def _item_metrics(day: str) -> tuple[str, list[str]]:
 
 
 ORACLES["item_item_cosine"] = sql(
-    f"""SELECT a.c AS "row", b.c AS "col", {r("count(*) / sqrt(any_value(x.n) * any_value(y.n))")} AS value
-    FROM likes a JOIN likes b ON a.u = b.u AND a.c < b.c JOIN sizes x ON x.c = a.c JOIN sizes y ON y.c = b.c
-    GROUP BY a.c, b.c""",
+    f"""SELECT "row", col, {r("v")} AS value, CAST(row_number() OVER best AS INTEGER) AS rank FROM cosines
+    WINDOW best AS (PARTITION BY "row" ORDER BY round(v, 12) DESC, col) QUALIFY row_number() OVER best <= 20""",
     "likes AS (SELECT DISTINCT like_giver_id AS u, conversation_id AS c FROM conversation_like)",
     "sizes AS (SELECT c, count(*) AS n FROM likes GROUP BY c)",
+    """cosines AS (
+      SELECT a.c AS "row", b.c AS col, count(*) / sqrt(any_value(x.n) * any_value(y.n)) AS v
+      FROM likes a JOIN likes b ON a.u = b.u AND a.c <> b.c JOIN sizes x ON x.c = a.c JOIN sizes y ON y.c = b.c
+      GROUP BY a.c, b.c)""",
 )
 ORACLES["itemcf_scores"] = sql(
     f"SELECT u AS user_id, c AS item_id, {r('s')} AS score FROM score", *_item_parts(LIKE_DAY)
@@ -869,7 +871,7 @@ ORACLES["given_category_topk"] = sql(
 ORACLES["given_vectors_topk"] = sql(
     f"""SELECT x.vec_id AS user_id, CAST(y.vec_id AS VARCHAR) AS item_id, {r("list_dot_product(x.f, y.f)")} AS score,
       CAST(row_number() OVER best AS INTEGER) AS rank
-    FROM vectors x JOIN vectors y ON x.label = 1 AND y.label <> 1
+    FROM vectors x JOIN vectors y ON x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id
     WINDOW best AS (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x.f, y.f), 12) DESC, CAST(y.vec_id AS VARCHAR))
     QUALIFY row_number() OVER best <= 10""",
     "vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)",

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumeria.operators import topk as tk
+from plumeria.operators.blocks import block_norms, norm_blocks, norm_of
 
 WEIGHTS = {1: {"a": 2, "b": -1}, 2: {"c": 1, "a": 1}, 3: {"a": 0}, 4: {"b": -3}}
 VIDEOS = {10: "a", 11: "b", 12: "a", 13: "c", 14: "b", 15: "c", 16: "x"}
@@ -122,3 +124,26 @@ def test_blocked_histogram_counts_every_pair(spark, block):
             cell = want.setdefault(float(np.dot(uf, vf)), [0, 0])
             cell[0 if (u, i) in liked else 1] += 1
     assert {r["score"]: [r["pos"], r["neg"]] for r in got.collect()} == want
+
+
+def test_blocks_beyond_reach_are_skipped(spark):
+    """Norms fall fast, so most users stop after a few of the blocks, with the lists of comparing all."""
+    rng = np.random.default_rng(9)
+    items = {i: [float(x) for x in rng.normal(size=6) / (1 + i) ** 0.5] for i in range(400)}
+    users = {u: [float(x) for x in rng.normal(size=6) * 10.0 ** rng.integers(-2, 3)] for u in range(150)} | {999: [0.0] * 6}
+    schema = "{} bigint, features array<double>"
+    left = spark.createDataFrame(list(users.items()), schema.format("user_id"))
+    right = spark.createDataFrame(list(items.items()), schema.format("item_id"))
+    got = {(r["user_id"], r["item_id"], r["rank"]) for r in tk.blocked_topk(left, right, 5, block=20).collect()}
+    want = set()
+    for u, uf in users.items():
+        scored = sorted((-round(float(np.dot(uf, vf)), 12), i) for i, vf in items.items())
+        want |= {(u, i, rank) for rank, (_, i) in enumerate(scored[:5], start=1)}
+    assert got == want
+    placed = norm_blocks(right.withColumn("norm", norm_of("features")), "item_id", 20, "ib")
+    norms = block_norms(placed, "ib")
+    assert norms == sorted(norms, reverse=True) and len(norms) > 15
+    known = left.withColumn("norm", norm_of("features"))
+    first = tk._block_best(known.withColumns({"ub": F.lit(0), "ib": F.lit(0)}), placed, None, 5)
+    copies = tk.further_blocks(known, first, norms, 5, 3).where("user_id <> 999").count()
+    assert copies < 0.4 * 150 * len(norms)
