@@ -15,7 +15,9 @@ of a set's s shingles must be shared, two linked sets share k of the first s - o
 Lists are scanned without forming all pairs. In each list one member, chosen by a hash
 (six in a long list), is paired with the others; pairs that share k lists are verified on the whole sets. Members that
 are joined by then, in whatever list, need no further comparison with each other, so the lists
-that matter shrink fast; once they don't, the pairs left across different components are
+that matter shrink fast; once they don't, the members of long lists are cut into parts of
+bounded size, and every two parts are compared as a block in one task, which hands on only
+links that join components. Of shorter lists the pairs left across different components are
 counted as they stand, and those that share k lists verified. Nothing is skipped: a pair is
 left out only if both are known to be in one component, or share too few keys to be linked. Links between the members of a component are counted afterwards, in blocks of
 bounded size, without writing pairs.
@@ -55,11 +57,13 @@ BUCKET_KEYS = 2_500_000
 LEAST_BUCKETS = 8
 HELD_KEYS = 1 << 20
 ROUNDS = 6
-#: Pairs are compared as they stand once they are at most so many for each key, or a round leaves so many of them.
+#: No more hubs are tried once pairs are at most so many for each key, or a round leaves more than this share of them: a round has some forty shuffles.
 PAIRS_PER_KEY = 2
-LEFT = 0.9
+LEFT = 0.4
 #: Members that a longer list's others are paired with at once, so that large groups join up in few rounds.
 LONG_LIST, LONG_LIST_HUBS = 64, 6
+#: Of lists longer than this the pairs are compared in blocks, never written.
+BLOCK_LIST = 128
 BLOCK_SETS = 512
 PRUNINGS = 2
 BLOCK_SHINGLES = 500_000
@@ -338,6 +342,17 @@ def _across(lists: DataFrame, light: int) -> DataFrame:
     return pairs.groupBy(F.col("node").alias("u"), "v").agg(_enough(light, 1).alias("enough")).where("enough").drop("enough")
 
 
+def _long_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of long lists by cluster, and the other lists.
+
+    Lists that have the same member chosen by a hash form a cluster: those of a group of near copies have mostly the same members.
+    """
+    chosen = F.min(F.struct(F.xxhash64("node").alias("_order"), F.col("node").alias("cluster")))
+    long = cut_lineage(lists.groupBy("key").agg(F.count("*").alias("_m"), chosen.alias("_chosen")).where(F.col("_m") > BLOCK_LIST).select("key", "_chosen.cluster"))
+    members = lists.join(long, "key").select("cluster", "node", "n", "component").distinct()
+    return members, lists.join(long.select("key"), "key", "left_anti")
+
+
 def _relabel(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of all links so far, and the lists with them."""
     found = components(links)
@@ -345,23 +360,28 @@ def _relabel(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, lists
 
 
-def _link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by block: for each class, the copies of the classes that it links to in this block."""
-    left = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-        of = list(zip(*(table.column(c).to_pylist() for c in ("component", "row", "col"))))
-        cuts = [0] + [k for k in range(1, len(of)) if of[k] != of[k - 1]]
-        for a, b in zip(cuts, cuts[1:]):
-            yield from _count_block(table.slice(a, b - a))
-        left = table.slice(cuts[-1])
-    if left is not None and left.num_rows:
-        yield from _count_block(left)
+def _by_block(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """Hands `work` the rows of each block, of rows sorted by block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            of = list(zip(*(table.column(c).to_pylist() for c in ("cluster", "row", "col"))))
+            cuts = [0] + [k for k in range(1, len(of)) if of[k] != of[k - 1]]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from work(table.slice(a, b - a))
+            left = table.slice(cuts[-1])
+        if left is not None and left.num_rows:
+            yield from work(left)
 
-def _count_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _block_links(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a block that are of its first part, those of its second, and which of them link."""
     sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
-    nodes, copies, part = (np.asarray(table.column(c)) for c in ("node", "copies", "part"))
+    part = np.asarray(table.column("part"))
     row, col = table.column("row")[0].as_py(), table.column("col")[0].as_py()
     sizes = np.array([len(x) for x in sets])
     found, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -380,28 +400,70 @@ def _count_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
     link = 4 * both >= 3 * (sizes[one][:, None] + sizes[two][None, :] - both)
     if row == col:
         np.fill_diagonal(link, False)
-    out = np.zeros(len(sets), dtype=np.int64)
+    return one, two, link
+
+
+def _count_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For each class, the copies of the classes that it links to in this block."""
+    one, two, link = _block_links(table)
+    nodes, copies = (np.asarray(table.column(c)) for c in ("node", "copies"))
+    out = np.zeros(len(nodes), dtype=np.int64)
     out[one] += link @ copies[two]
-    if row != col:
+    if table.column("row")[0].as_py() != table.column("col")[0].as_py():
         out[two] += link.T @ copies[one]
     pick = out > 0
     yield pa.RecordBatch.from_arrays([pa.array(nodes[pick]), pa.array(out[pick])], ["node", "links"])
 
 
-def _count_links(found: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, links: copies of other classes that a class links to.
+def _span_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of this block that join its components, as few as do."""
+    one, two, link = _block_links(table)
+    nodes, known = (np.asarray(table.column(c)) for c in ("node", "component"))
+    _, root = np.unique(known, return_inverse=True)
+    link &= root[one][:, None] != root[two][None, :]
+    parent = list(range(len(nodes)))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    made = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(link))):
+        x, y = top(int(root[one[a]])), top(int(root[two[b]]))
+        if x != y:
+            parent[x] = y
+            made.append((int(one[a]), int(two[b])))
+    at = np.array(made, dtype=np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], ["u", "v"])
+
 
-    A component is cut into parts of bounded size, and every two parts form a block, so the
-    largest component is work for many tasks.
+def _blocks(members: DataFrame, *told: str) -> DataFrame:
+    """Cuts each cluster into parts of bounded size; every two parts are a block, which has the rows of both.
+
+    Of a cluster's members the least that one task holds is that of one block, so the largest cluster is work for many tasks.
     """
-    members = found.join(classes.select("node", "n", "copies"), "node")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
-    members = members.join(members.groupBy("component").agg(parts.alias("parts")), "component")
+    members = members.join(members.groupBy("cluster").agg(parts.alias("parts")), "cluster")
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = members.select("component", "node", "copies", "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
-    blocks = members.join(sets, "node").repartition("component", "row", "col").sortWithinPartitions("component", "row", "col", "node")
-    counted = blocks.select("component", "row", "col", "node", "copies", "part", "shingles").mapInArrow(_link_counts, "node long, links long")
+    return members.select("cluster", "node", *told, "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
+
+
+def _in_blocks(blocks: DataFrame, sets: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    keys = ["cluster", "row", "col"]
+    rows = blocks.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+    return rows.mapInArrow(_by_block(work), schema)
+
+
+def _count_links(found: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, links: copies of other classes that a class links to.
+
+    Components are counted in blocks.
+    """
+    members = found.join(classes.select("node", "n", "copies"), "node").withColumnRenamed("component", "cluster")
+    counted = _in_blocks(_blocks(members, "copies"), sets, _count_block, "node long, links long")
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
@@ -513,11 +575,18 @@ def _link(lists: DataFrame, light: int, sets_of: Callable[[DataFrame], DataFrame
             break
         last = round_ == ROUNDS or pairs <= PAIRS_PER_KEY * members or pairs > LEFT * before
         before = pairs
-        tried = cut_lineage(_across(left, light) if last else _hub_pairs(left, round_, light))
-        nodes = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        if last:
+            long, short = _long_lists(left)
+            blocks = cut_lineage(_blocks(long, "component"))
+        tried = cut_lineage(_across(short, light) if last else _hub_pairs(left, round_, light))
+        nodes = tried.select(F.explode(F.array("u", "v")).alias("node"))
+        nodes = (nodes.unionByName(blocks.select("node")) if last else nodes).distinct()
         more = sets_of(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"))
         sets = more if sets is None else sets.unionByName(more)
-        made = cut_lineage(_verify(tried, sets))
+        made = _verify(tried, sets)
+        if last:
+            made = made.unionByName(_in_blocks(blocks, sets, _span_block, "u long, v long"))
+        made = cut_lineage(made)
         links = made if links is None else links.unionByName(made)
         found, lists = _relabel(left, links)
         if last:

@@ -54,7 +54,7 @@ def frame(spark, rows):
 def test_join_equals_all_pairs(spark, monkeypatch, tight):
     if tight:
         # Small bounds take the paths that large groups take.
-        for name, value in {"BLOCK_SETS": 4, "COLUMNS": 16, "LEAST_COMMON": 4, "REPORTED": 2, "HELD_KEYS": 50, "PAIRS_PER_KEY": 0, "ROUNDS": 2, "LONG_LIST": 5}.items():
+        for name, value in {"BLOCK_SETS": 4, "COLUMNS": 16, "LEAST_COMMON": 4, "REPORTED": 2, "HELD_KEYS": 50, "PAIRS_PER_KEY": 0, "ROUNDS": 2, "LONG_LIST": 5, "BLOCK_LIST": 3}.items():
             monkeypatch.setattr(jaccard, name, value)
     rows = fixture()
     found = jaccard.jaccard_components(frame(spark, rows)).collect()
@@ -89,3 +89,53 @@ def test_boundary_follows_the_cost():
 
 def test_least_overlap_is_three_quarters_rounded_up():
     assert all(4 * jaccard.needed(n) >= 3 * n > 4 * (jaccard.needed(n) - 1) for n in range(1, 200))
+
+
+def test_a_large_group_whose_pairs_straddle_the_bound(spark, monkeypatch):
+    """Few pairs link, so hubs settle little: the rest is compared in blocks, and few rows are written."""
+    random.seed(8)
+    base = [f"b{k}" for k in range(90)]
+    texts = []
+    for _ in range(700):
+        text = list(base)
+        for at in random.sample(range(90), 3):
+            text[at] = f"x{random.randrange(10**9)}"
+        texts.append(" ".join(text))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    seen, across = [], jaccard._across
+    blocks = jaccard._blocks
+
+    def counted(lists, light):
+        made = across(lists, light)
+        seen.append(("pairs", made.count()))
+        return made
+
+    def cut(members, *told):
+        made = blocks(members, *told)
+        seen.append(("rows", made.count()))
+        return made
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    monkeypatch.setattr(jaccard, "_blocks", cut)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 128)
+    found = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [frozenset(shingles_of(t)) for t in texts]
+    part = list(range(len(rows)))
+
+    def top(k):
+        while part[k] != k:
+            part[k] = part[part[k]]
+            k = part[k]
+        return k
+
+    linked = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
+                linked += 1
+                x, y = top(a), top(b)
+                part[max(x, y)] = min(x, y)
+    assert {r.doc_id: r.component_id for r in found} == {k: top(k) for k in range(len(rows))}
+    assert 0 < linked < 0.2 * 700 * 699 / 2
+    assert all(n < 20_000 for kind, n in seen if kind == "pairs") and all(n < 700 * 40 for kind, n in seen if kind == "rows")
