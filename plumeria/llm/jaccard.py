@@ -66,9 +66,9 @@ LONG_LIST, LONG_LIST_HUBS = 64, 6
 BLOCK_LIST = 128
 BLOCK_SETS = 512
 PRUNINGS = 2
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 250_000
 #: Columns of a block's incidence matrix that are multiplied at once.
-COLUMNS = 8192
+COLUMNS = 4096
 _CLASS, _SUBSET = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAEF17502108EF2D9)
 
 
