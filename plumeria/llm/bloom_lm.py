@@ -3,15 +3,16 @@
 Counting: every task cuts the n-grams of its texts into slices by hash and sends each slice
 once, packed; a slice's reducer adds the counts up, so no n-gram is a row and none is hot.
 
-A corpus whose n-grams surely fit into `filter_bits` is scored from a filter that is
-broadcast. Each slice builds its own part, as large as its steps need: an n-gram whose count
-reaches the j-th step of a growing scale is stored once for each of the steps 1 to j, and a
-reader probes steps upwards until one is missing.
+The filter is cut into slices, and each slice's reducer builds its own part, as large as its
+steps need: an n-gram whose count reaches the j-th step of a growing scale is stored once for
+each of the steps 1 to j, and a reader probes steps upwards until one is missing.
 
-Any larger corpus is scored without a filter. Texts are kept in chunks of bounded size; all
-chunks, also those of held-out texts, send their n-grams to the slices, and each slice
-answers every chunk with exact counts of its words and levels of its bigrams and trigrams. A
-chunk puts the answers back to its tokens. No n-gram is left out at either size.
+A filter that surely fits into `filter_bits` is broadcast whole, and every task probes it. The
+parts of a larger one stay where they are built: texts are kept in chunks of bounded size, all
+chunks, also those of held-out texts, send their n-grams to the slices, each slice builds the
+same part from the same counts and answers every chunk by probing it, and a chunk puts the
+answers back to its tokens. Both ways read the same bits, so scores don't depend on
+`filter_bits`; no n-gram is left out at either size.
 
 Scoring: a word's probability mixes its share after two words, after one, and overall
 (Jelinek-Mercer). Mixture weights depend on how often the context was seen and are fitted by
@@ -25,7 +26,9 @@ frequent words come broadcast and the others by a join on word fingerprints.
 
 A null or empty text is one end token. A null id counts as the empty text in the split.
 Repeated rows count each. An empty training set gives probability 1 / 2 to every token.
-Words are known by 64-bit fingerprints, n-grams by 48 bits at least.
+Words are known by 64-bit fingerprints, n-grams by their slice and 32 bits: as slices hold
+about `SLICE_CHARS` of text at any size, an n-gram shares its name with another of its slice
+with a chance under 1 in 1,000, less often than a probe of the filter errs.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ ROOM = 12
 STEP = 1.15
 LEAST_SLICES = 256
 SLICE_CHARS = 8 << 20
-PACKED = 5
+PACKED = 4
 #: N-grams that a counting task holds before it sends them on.
 HELD_GRAMS = 3 << 20
 #: Bytes of text of a chunk; one longer text is a chunk alone.
@@ -106,6 +109,10 @@ def grams(found: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [mix(found ^ _UNI), pair(before, found), pair(context, found), context, mix(before ^ _UNI)]
 
 
+def _low(values: np.ndarray) -> np.ndarray:
+    return values & np.uint64((1 << 8 * PACKED) - 1)
+
+
 def _pack(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
 
@@ -181,58 +188,48 @@ def _add_up(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
 
-def _build_slice(slice_bits: int | None = None):
-    """One slice of the filter, its words and their counts; with all n-grams unless a number of bits is given."""
-
-    def run(table: pa.Table) -> pa.Table:
-        per_order = [_add_up(table, order) for order in range(1, ORDER + 1)]
-        steps = [np.searchsorted(SCALE, n, side="right") for _, n in per_order]
-        bits = slice_bits or 64 * (1 + ROOM * sum(int(s.sum()) for s in steps) // 64)
-        room = bits // ROOM
-        # Stored steps if counts from c on are kept, for all c at once.
-        cost = lambda n, s: np.bincount(np.minimum(n, 1 << 16), s, (1 << 16) + 1)[::-1].cumsum()[::-1]
-        words, rest = cost(per_order[0][1], steps[0]), sum(cost(n, s) for (_, n), s in zip(per_order[1:], steps[1:]))
-        fits = np.flatnonzero(words[1] + rest[1:] <= room)
-        least = int(fits[0]) + 1 if len(fits) else 1 << 16
-        fits = np.flatnonzero(words[1:] + rest[least] <= room)
-        least_word = int(fits[0]) + 1 if len(fits) else 1 << 16
-        words_ = np.zeros(bits // 64, dtype=np.uint64)
-        for order, ((values, counts), top) in enumerate(zip(per_order, steps)):
-            keep = counts >= (least_word if order == 0 else least)
-            values, top = values[keep] & np.uint64((1 << 8 * PACKED) - 1), top[keep]
-            for step in range(1, int(top.max(initial=0)) + 1):
-                values, top = values[top >= step], top[top >= step]
-                np.bitwise_or.at(words_, *places(values, step, len(words_)))
-        found, counts = per_order[0]
-        return pa.table(
-            {
-                "slice": pa.array([table.column("slice")[0].as_py()], pa.int64()),
-                "bits": pa.array([words_.astype("<u8").tobytes()], pa.binary()),
-                "least": pa.array([least], pa.int64()),
-                "words": pa.array([found.view(np.int64)], pa.list_(pa.int64())),
-                "counts": pa.array([counts], pa.list_(pa.int64())),
-            }
-        )
-
-    return run
+def _part(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The part of the filter that holds a slice's n-grams: values and counts by order."""
+    steps = [np.searchsorted(SCALE, n, side="right") for _, n in counted]
+    words = np.zeros(1 + ROOM * sum(int(s.sum()) for s in steps) // 64, dtype=np.uint64)
+    for (values, _), top in zip(counted, steps):
+        values = _low(values)
+        for step in range(1, int(top.max(initial=0)) + 1):
+            values, top = values[top >= step], top[top >= step]
+            np.bitwise_or.at(words, *places(values, step, len(words)))
+    return words
+
+
+def _build_slice(table: pa.Table) -> pa.Table:
+    """One slice's part of the filter, its words and their counts."""
+    counted = [_add_up(table, order) for order in range(1, ORDER + 1)]
+    found, counts = counted[0]
+    return pa.table(
+        {
+            "slice": pa.array([table.column("slice")[0].as_py()], pa.int64()),
+            "bits": pa.array([_part(counted).astype("<u8").tobytes()], pa.binary()),
+            "words": pa.array([found.view(np.int64)], pa.list_(pa.int64())),
+            "counts": pa.array([counts], pa.list_(pa.int64())),
+        }
+    )
 
 
 @dataclass(frozen=True)
 class Filter:
-    """The whole filter as 64-bit words; level() says up to which step a value is stored.
+    """Parts of the filter as 64-bit words; level() says up to which step a value is stored.
 
-    `starts` tells where each slice begins and the last ends; without it all are equally long.
+    `starts` tells where the part of each of the slices begins and where the last ends. With one
+    slice, values are looked up in that part whatever slice they belong to.
     """
 
     data: np.ndarray
     slices: int
-    starts: np.ndarray | None = None
+    starts: np.ndarray
 
     def stored(self, values: np.ndarray, step: int) -> np.ndarray:
-        own = values >> np.uint64(64 - (self.slices - 1).bit_length())
-        starts = np.arange(self.slices + 1) * (len(self.data) // self.slices) if self.starts is None else self.starts
-        base, words = starts[:-1].astype(np.uint64)[own], np.diff(starts)[own]
-        at, bits = places(values & np.uint64((1 << 8 * PACKED) - 1), step, words)
+        own = values >> np.uint64(64 - (self.slices - 1).bit_length()) if self.slices > 1 else np.zeros(len(values), dtype=np.uint64)
+        base, words = self.starts[:-1].astype(np.uint64)[own], np.diff(self.starts)[own]
+        at, bits = places(_low(values), step, words)
         return self.data[base + at] & bits == bits
 
     def level(self, values: np.ndarray) -> np.ndarray:
@@ -304,14 +301,14 @@ class Model:
         return np.log10(w3 * three + (1 - w3) * (w2 * two + (1 - w2) * one))
 
 
-def _tally(one: np.ndarray, two: np.ndarray, three: np.ndarray, before: np.ndarray, context: np.ndarray, cells: float) -> np.ndarray:
-    """What the weights need of each token, as one number: both classes, and the steps of two and three over one * cells.
+def _tally(one: np.ndarray, two: np.ndarray, three: np.ndarray, before: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """What the weights need of each token, as one number: both classes, and the steps of two and three over one.
 
-    `cells` is what counts were divided by to give `one`, so a step does not depend on the totals.
+    `one` is a count that is not yet divided by the cells, so a step does not depend on the totals.
     """
 
     def step(share: np.ndarray) -> np.ndarray:
-        ratio = np.floor((np.log2(np.maximum(share, 1e-300) / (one * cells)) - LEAST_RATIO) * RATIO_STEPS)
+        ratio = np.floor((np.log2(np.maximum(share, 1e-300) / one) - LEAST_RATIO) * RATIO_STEPS)
         return np.where(share > 0, np.clip(ratio, 0, RATIOS - 1) + 1, 0).astype(np.int64)
 
     return ((before * CLASSES + context) * (RATIOS + 1) + step(two)) * (RATIOS + 1) + step(three)
@@ -347,7 +344,7 @@ def fit(docs: DataFrame, slices: int = LEAST_SLICES, top_words: int = TOP_WORDS)
     """The model of the training documents, with a filter, and a table of all words (slice, words, counts)."""
     train = docs.where(id_remainder("doc_id", FOLDS) != HELD_OUT).select("doc_id", "text")
     counted = train.select("text").mapInArrow(_counter(slices), "slice long, gram_order int, once binary, more binary, counts binary")
-    built = counted.groupBy("slice").applyInArrow(_build_slice(), "slice long, bits binary, least long, words array<bigint>, counts array<bigint>")
+    built = counted.groupBy("slice").applyInArrow(_build_slice, "slice long, bits binary, words array<bigint>, counts array<bigint>")
     built = cut_lineage(built)
     vocabulary = built.select("slice", "words", "counts")
     parts = built.select("slice", "bits").toArrow()
@@ -390,10 +387,10 @@ def _top(vocabulary: DataFrame, distinct: int, most: int) -> tuple[np.ndarray, n
 
 def _mixture(model: Model, train: DataFrame) -> Model:
     """Fits the weights on all training tokens, each taken out of its own counts."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    shared = train.sparkSession.sparkContext.broadcast(replace(model, train_tokens=0, vocabulary=0))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        found, n = np.unique(_tally(*shared.value.shares(grams(*tokens(part.column("text"))), less=1), shared.value.cells), return_counts=True)
+        found, n = np.unique(_tally(*shared.value.shares(grams(*tokens(part.column("text"))), less=1)), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["tally", "n"])
 
     return _fitted(model, train.select("text").mapInArrow(by_chunk(work), "tally long, n long"))
@@ -411,11 +408,12 @@ def _fitted(model: Model, tallies: DataFrame) -> Model:
 
 def scores(docs: DataFrame, filter_bits: int = FILTER_BITS, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text."""
-    chars, rows = docs.where(id_remainder("doc_id", FOLDS) != HELD_OUT).agg(F.sum(F.length("text")), F.count("*")).first()
-    chars = chars or 0
-    # A text has at most (chars + 1) / 2 words and an end; a token adds 3 n-grams and the beginning of a text 2, each a step
-    # at most; every slice is rounded up to a word.
-    steps = ORDER * ((chars + rows) // 2 + rows) + 2 * rows
+    blanks = F.length("text") - F.length(F.translate("text", " \t\n\v\f\r", ""))
+    train = docs.where(id_remainder("doc_id", FOLDS) != HELD_OUT)
+    chars, blank, rows = (x or 0 for x in train.agg(F.sum(F.length("text")), F.sum(blanks), F.count("*")).first())
+    # A text has at most a word more than blanks, and an end; a token adds 3 n-grams and the beginning of a text 2, each a
+    # step at most; every slice is rounded up to a word.
+    steps = ORDER * (blank + 2 * rows) + 2 * rows
     slices = _slices(chars)
     if ROOM * steps + 64 * slices <= filter_bits:
         return _scores_by_filter(docs, slices, top_words)
@@ -529,10 +527,6 @@ def _take(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64) + np.uint64(first)
 
 
-def _low(values: np.ndarray) -> np.ndarray:
-    return values & np.uint64((1 << 8 * PACKED) - 1)
-
-
 def _put_bytes(numbers: np.ndarray, width: int = 8) -> bytes:
     """Numbers, most of them small, in compressed bytes of equal weight side by side."""
     return zlib.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T[:width].tobytes(), 1)
@@ -605,28 +599,36 @@ def _asked(slices: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one slice: to every chunk the counts of its words and the levels of its longer n-grams; to one the totals."""
+    """Builds a slice's part of the filter; answers every chunk with probed levels, of words with counts too; to one the totals."""
     columns = [table.column(c).to_pylist() for c in ("chunk", "train", "gram_order", "once", "more", "counts")]
-    rows: list[tuple] = []
-    slice_ = table.column("slice")[0].as_py()
+    asked, counted = [], []
     for order in range(1, ORDER + 1):
         own = [r for r in zip(*columns) if r[2] == order]
-        if not own:
-            continue
-        values, counts = [], []
+        values, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
         for _, train, _, once, more, n in own:
             single = _take(once)
             values.append(np.concatenate([single, _take(more)]))
             counts.append(np.concatenate([np.full(len(single), int(train)), _take_bytes(n)]))
-        ends = np.cumsum([0, *map(len, values)])
+        ends = np.cumsum([0, *map(len, values[1:])])
         distinct, at = np.unique(np.concatenate(values), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+        asked.append(([r[0] for r in own], ends, distinct, at, total))
+        # N-grams of held-out texts alone are asked for, not stored.
+        counted.append((distinct[total > 0], total[total > 0]))
+    words = _part(counted)
+    part = Filter(words, 1, np.array([0, len(words)]))
+    rows: list[tuple] = []
+    slice_ = table.column("slice")[0].as_py()
+    for order, (chunks_, ends, distinct, at, total) in enumerate(asked, 1):
         # A level of 255 stands for counts above 10 ** 15.
-        told = total if order == 1 else np.minimum(np.searchsorted(SCALE, total, side="right"), 255)
+        told = np.minimum(part.level(distinct), 255)
+        if order == 1:
+            # A word's level is that of its count, but where the filter errs.
+            told = total << 8 | told - np.minimum(np.searchsorted(SCALE, total, side="right"), 255)
         # The totals of a slice go with its first answer.
         totals = (int(total.sum()), int((total > 0).sum())) if order == 1 else (0, 0)
-        for r, a, b in zip(own, ends, ends[1:]):
-            rows.append((r[0], slice_, order, _put_bytes(told[at[a:b]], 8 if order == 1 else 1), *totals))
+        for chunk, a, b in zip(chunks_, ends, ends[1:]):
+            rows.append((chunk, slice_, order, _put_bytes(told[at[a:b]], 8 if order == 1 else 1), *totals))
             totals = (0, 0)
     types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["chunk", "slice", "gram_order", "answer", "tokens", "words"])
@@ -656,14 +658,14 @@ def _put_back(slices: int):
             answers = np.concatenate([_take_bytes(a, 8 if order == 1 else 1) for a in own.column("answer").to_pylist()])
             told.append(answers[_Grams.of(found, order, slices, train, inverse=True).at])
         n, rows = len(made[0]), len(starts) - 1
-        count, pair, triple = told[0], told[1][:n], told[2]
-        uni = np.searchsorted(SCALE, count, side="right")
-        levels = [np.minimum(x, 255) for x in (uni, pair, triple)]
+        count = told[0] >> 8
+        uni = np.minimum(np.searchsorted(SCALE, count, side="right"), 255) + (told[0] & 255)
+        levels = [uni, told[1][:n], told[2]]
         # The two contexts at the beginning of a text: of two tokens and of one.
         first = told[1][n : n + rows], told[1][n + rows :]
         tally, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         if train:
-            tally, times = np.unique(_tally(*model.shares_of(*_with_contexts(*levels, starts, *first), less=1), model.cells), return_counts=True)
+            tally, times = np.unique(_tally(*model.shares_of(*_with_contexts(*levels, starts, *first), less=1)), return_counts=True)
         sums = lambda x: pa.array(np.add.reduceat(x, starts[:-1]))  # noqa: E731  every text has its end token
         at = pa.array(starts, pa.int64())
         columns = {"n_tokens": pa.array(np.diff(starts), pa.int64()), "n_known": sums((count > 0).astype(np.int64)), "_base": sums(np.log10(count + 1.0))}
@@ -686,7 +688,7 @@ def _put_back(slices: int):
 
 
 def _scores_by_shuffle(docs: DataFrame, slices: int) -> DataFrame:
-    """Scores of a corpus whose n-grams may not fit into a broadcast: every chunk asks the slices."""
+    """Scores of a corpus whose filter may not fit into a broadcast: every chunk asks the parts of the filter."""
     texts = docs.select("doc_id", "text", (id_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
     kept = cut_lineage(texts.mapInArrow(_chunked, "chunk long, train boolean, data binary"))
     asked = kept.mapInArrow(_asked(slices), "slice long, chunk long, train boolean, gram_order int, once binary, more binary, counts binary")

@@ -65,26 +65,64 @@ def test_filter_never_tells_too_little():
     values = np.unique(random.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
     counts = random.integers(1, 2000, len(values))
     pack = lambda x: bloom_lm._pack(x)
-    slices, bits = 4, 1 << 17
-    data = np.zeros((slices, bits // 64), dtype=np.uint64)
+    slices, parts = 4, []
     for k in range(slices):
         own = values >> np.uint64(62) == k
         table = bloom_lm.pa.table({"slice": [k], "gram_order": [2], "once": [b""], "more": [pack(values[own])], "counts": [counts[own].astype("<u4").tobytes()]})
-        built = bloom_lm._build_slice(bits)(table)
-        assert built.column("least")[0].as_py() == 1
-        data[k] = np.frombuffer(built.column("bits")[0].as_py(), dtype=np.uint64)
-    found = bloom_lm.Filter(data.reshape(-1), slices).level(values)
+        parts.append(np.frombuffer(bloom_lm._build_slice(table).column("bits")[0].as_py(), dtype=np.uint64))
+    whole = bloom_lm.Filter(np.concatenate(parts), slices, np.cumsum([0, *map(len, parts)]))
+    found = whole.level(values)
     exact = np.searchsorted(bloom_lm.SCALE, counts, side="right")
     assert (found >= exact).all() and (found == exact).mean() > 0.95
     other = random.integers(0, 1 << 63, 5000, dtype=np.uint64)
-    assert (bloom_lm.Filter(data.reshape(-1), slices).level(other) > 0).mean() < 0.05
+    assert (whole.level(other) > 0).mean() < 0.05
 
 
-def test_full_slices_drop_the_smallest_counts_first():
-    values = np.arange(1, 4001, dtype=np.uint64)
-    counts = np.where(np.arange(4000) < 40, 50, 1)
-    table = bloom_lm.pa.table({"slice": [0], "gram_order": [3], "once": [b""], "more": [bloom_lm._pack(values)], "counts": [counts.astype("<u4").tobytes()]})
-    assert bloom_lm._build_slice(1 << 14)(table).column("least")[0].as_py() == 2
+def quantised_mixture(rows, weights=None):
+    """Interpolated trigram scores of all rows from exact counts in dictionaries; weights are given or fitted token by token."""
+    held = lambda i: crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    texts = [(i, held(i), [*words_of(text), None]) for i, text, _ in rows]
+    uni, pair, triple, first = Counter(), Counter(), Counter(), 0
+    for _, out, t in texts:
+        if not out:
+            full = ["<s>", "<s>", *t]
+            uni.update(t)
+            pair.update(zip(full[1:], full[2:]))
+            triple.update(zip(full, full[1:], full[2:]))
+            first += 1
+    uni["<s>"] = pair["<s>", "<s>"] = first
+    cells = sum(uni.values()) - first + len(uni) - 1 + 1
+    step = lambda n: int(np.searchsorted(bloom_lm.SCALE, n, side="right"))
+    least = lambda n, less: max((bloom_lm.SCALE[step(n) - 1] if n else 0) - less, 0)
+    most = lambda n, less: max((bloom_lm.SCALE[step(n)] - 1 if n else 0) - less, 0)
+
+    def shares(t, less):
+        full = ["<s>", "<s>", *t]
+        for a, b, c in zip(full, full[1:], full[2:]):
+            before, context = most(uni[b], less), most(pair[a, b], less)
+            klass = [min(1 + int(math.log2(x)), bloom_lm.CLASSES - 1) if x > 0 else 0 for x in (before, context)]
+            two, three = min(least(pair[b, c], less) / max(before, 1), 1), min(least(triple[a, b, c], less) / max(context, 1), 1)
+            yield (least(uni[c], less) + 1) / cells, two, three, *klass
+
+    seen = np.array([s for _, out, t in texts if not out for s in shares(t, 1)])
+    n, before, context = np.ones(len(seen)), seen[:, 3].astype(int), seen[:, 4].astype(int)
+    w2 = weights[0] if weights else bloom_lm._maximise(seen[:, 0], seen[:, 1], before, n)
+    w3 = weights[1] if weights else bloom_lm._maximise(w2[before] * seen[:, 1] + (1 - w2[before]) * seen[:, 0], seen[:, 2], context, n)
+    for i, _, t in texts:
+        yield i, sum(math.log10(w3[k] * three + (1 - w3[k]) * (w2[b] * two + (1 - w2[b]) * one)) for one, two, three, b, k in shares(t, 0))
+
+
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 28])
+def test_scores_are_those_of_exact_counts(spark, bits, monkeypatch):
+    """Where the filter errs a text's score moves: at most 5 %, in 9 of 10 texts 1 %; the total, with exact weights too, 0.5 %."""
+    rows, seen, real = fixture(), [], bloom_lm._weights
+    monkeypatch.setattr(bloom_lm, "_weights", lambda *tally: seen.append(real(*tally)) or seen[-1])
+    found = {r.doc_id: r.score for r in bloom_lm.scores(spark.createDataFrame(rows, SCHEMA), bits).collect()}
+    expected = dict(quantised_mixture(rows, seen[0]))
+    assert found.keys() == expected.keys()
+    off = np.array([abs(found[i] / expected[i] - 1) for i in found])
+    assert off.max() < 0.05 and np.quantile(off, 0.9) < 0.01
+    assert math.isclose(sum(found.values()), sum(dict(quantised_mixture(rows)).values()), rel_tol=0.005)
 
 
 def test_weights_are_fitted_on_all_training_tokens(spark):
@@ -111,7 +149,7 @@ def test_tallied_weights_are_those_of_single_tokens():
     one, two = random.uniform(1e-6, 1e-2, 4000), random.uniform(0, 1, 4000) * (random.random(4000) < 0.6)
     three = random.uniform(0, 1, 4000) * (random.random(4000) < 0.4)
     before, context = random.integers(1, 4, 4000), random.integers(0, 3, 4000)
-    pair, triple = bloom_lm._weights(*np.unique(bloom_lm._tally(one, two, three, before, context, 1e7), return_counts=True), 1e7)
+    pair, triple = bloom_lm._weights(*np.unique(bloom_lm._tally(one * 1e7, two, three, before, context), return_counts=True), 1e7)
     n = np.ones(4000)
     exact = bloom_lm._maximise(one, two, before, n)
     assert np.abs(pair - exact).max() < 0.005
@@ -120,14 +158,14 @@ def test_tallied_weights_are_those_of_single_tokens():
 
 @pytest.mark.parametrize("texts", [fixture, lambda: [(k, " ".join(f"v{(k * 37 + j) % 4000}" for j in range(150)), "x") for k in range(300)]])
 def test_no_ngram_is_left_out_of_a_corpus_beyond_the_broadcast(spark, texts):
-    """Words alone overfill the small bound, at which bigrams and trigrams were dropped."""
+    """Scores don't depend on whether the filter is broadcast or asked part by part."""
     docs = spark.createDataFrame(texts(), SCHEMA).repartition(5)
     key = lambda r: (r.doc_id is None, r.doc_id or 0)
     small, large = (sorted(bloom_lm.scores(docs, bits).collect(), key=key) for bits in (1 << 15, 1 << 27))
     assert [r[:5] for r in small] == [r[:5] for r in large]
     assert all(math.isclose(a.base_score, b.base_score, rel_tol=1e-12) for a, b in zip(small, large))
-    total = [sum(r.score for r in found if r.held_out) for found in (small, large)]
-    assert math.isclose(*total, rel_tol=0.02) and total[0] > 0.8 * sum(r.base_score for r in small if r.held_out)
+    assert all(math.isclose(a.score, b.score, rel_tol=1e-12) for a, b in zip(small, large))
+    assert sum(r.score for r in small if r.held_out) > 0.8 * sum(r.base_score for r in small if r.held_out)
 
 
 def test_filter_grows_with_the_ngrams(spark):
