@@ -18,6 +18,8 @@ import pyarrow as pa
 SHINGLE_WORDS = 5
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
 CHUNK_BYTES = 1 << 21
+#: Bytes whose words are named at once; one longer word is named alone.
+PIECE_BYTES = (1 << 16) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,7 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_POWERS = [_powers(1 << 16)]
+_POWERS = [_powers(PIECE_BYTES + 1)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +103,19 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all words in order, and the first word of each text and the number of words."""
     data, begin, end, starts = word_spans(texts)
-    if not len(begin):
-        return np.zeros(0, dtype=np.uint64), starts
-    up, down = powers(len(data) + 1)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE_LOWER[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    out = np.empty(len(begin), dtype=np.uint64)
+    a = 0
+    while a < len(begin):
+        # A word's fingerprint does not depend on its place, so pieces may begin at any word.
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + PIECE_BYTES, side="right")))
+        piece, first, last = data[begin[a] : end[b - 1]], begin[a:b] - begin[a], end[a:b] - begin[a]
+        # Powers for one very long word are not kept.
+        up, down = (powers if len(piece) <= PIECE_BYTES else _powers)(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_LOWER[piece] * up[: len(piece)], out=total[1:])
+        out[a:b] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        a = b
+    return out, starts
 
 
 def shingle_hashes(words: np.ndarray, starts: np.ndarray, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

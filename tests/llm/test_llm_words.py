@@ -6,6 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from plumeria.llm import words
 from plumeria.llm.words import chunks, shingle_hashes, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,3 +49,13 @@ def test_sliced_columns_start_anywhere():
     whole, starts = word_hashes(texts)
     part, part_starts = word_hashes(texts.slice(3))
     assert part.tolist() == whole[starts[3] :].tolist() and part_starts.tolist() == [0, 1, 4]
+
+
+def test_fingerprints_do_not_depend_on_the_place(monkeypatch):
+    """Pieces of few bytes, words longer than a piece, and bytes of several units give the same fingerprints."""
+    texts = pa.array(["A b\tcc  " + "é" * 50 + " b", None, "", "x" * 300 + " a", "  "])
+    whole, starts = words.word_hashes(texts)
+    monkeypatch.setattr(words, "PIECE_BYTES", 7)
+    pieces, same = words.word_hashes(texts)
+    assert (whole == pieces).all() and (starts == same).all()
+    assert whole[0] == whole[-1] and whole[1] == whole[4] and len(set(whole.tolist())) == 5
