@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeria.functions.discount import discount, discount_prefix, discount_total
+from plumeria.operators.prefix import running_total
 from plumeria.operators.topk import user_lists
-from plumeria.session import cut_lineage
 
 RANKING = ["roc_auc_score", "accuracy", "precision_score", "recall", "f1_score", "hit_ratio_k", "ndcg_k"]
 
@@ -123,33 +123,14 @@ def score_histogram(scored: DataFrame, digits: int = 12, by: Sequence[str] = ())
     )
 
 
-def positives_above(histogram: DataFrame, by: Sequence[str] = (), buckets: int = 1000) -> DataFrame:
-    """Adds ``above``: positives at strictly higher scores.
-
-    A running sum in two steps: within value buckets, which run in parallel, and
-    over the bucket totals, of which there are at most ``buckets`` per key.
-    """
-    bounds = histogram.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    low, high = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    place = F.when(high > low, F.floor((F.col("score") - low) / (high - low) * (buckets - 1))).otherwise(0)
-    placed = histogram.withColumn("bucket", place)
-    total = placed.groupBy(*by, "bucket").agg(F.sum("pos").alias("bucket_pos"))
-    later = Window.partitionBy(*by).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select(*by, "bucket", F.coalesce(F.sum("bucket_pos").over(later), F.lit(0)).alias("base"))
-    inside = (
-        Window.partitionBy(*by, "bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = F.coalesce(F.sum("pos").over(inside), F.lit(0))
-    joined = placed.withColumn("local", local).join(base, [*by, "bucket"])
-    return joined.withColumn("above", F.col("local") + F.col("base")).drop("bucket", "local", "base")
+def positives_above(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``above``: positives at strictly higher scores, from running totals over ranges of scores."""
+    return running_total(histogram, "score", "pos", "above", by, descending=True)
 
 
 def rank_auc(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC of continuous scores by the rank sum; null when one class is missing.
-
-    The histogram is read several times, so it is written once first.
-    """
-    ranked = positives_above(cut_lineage(histogram), by)
+    """ROC AUC of continuous scores by the rank sum; null when one class is missing."""
+    ranked = positives_above(histogram, by)
     pairs = F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2))
     p, n = F.sum("pos"), F.sum("neg")
     return ranked.groupBy(*by).agg(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeria.operators.prefix import running_total, values_at
+
 
 def membership(df: DataFrame, key: str, others: DataFrame, other_key: str, yes: str, no: str, flag: str) -> DataFrame:
     """Adds a two-valued flag: does the key occur in the other table."""
@@ -51,12 +53,25 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def boxplot(df: DataFrame, value: str) -> DataFrame:
     """Quartiles, whiskers inside 1.5 interquartile ranges, extremes and number of outliers.
 
-    Values are counted first, so the exact percentiles see each distinct value once.
+    Values are counted first, and running counts over ranges of values tell which value stands
+    at each place, so no task sees all distinct values. A quartile between two places is
+    interpolated. NaN counts as larger than any number. No value gives nulls and no outliers.
     """
-    per_value = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    quartiles = per_value.agg(
-        F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q"), F.min("x").alias("low"), F.max("x").alias("high")
-    ).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    per_value = running_total(counted, "x", "n", "before")
+    last = per_value.agg(F.sum("n").alias("rows")).select(F.col("rows") - 1).scalar()
+    exact = [F.lit(q) * last for q in (0.25, 0.5, 0.75)]
+    found = values_at(per_value, "x", "n", "before", [f(e) for e in exact for f in (F.floor, F.ceil)])
+    bounds = per_value.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+
+    def quartile(i: int) -> Column:
+        below, above = F.col(f"p{2 * i}").cast("double"), F.col(f"p{2 * i + 1}").cast("double")
+        between = below + (above - below) * (exact[i] - F.floor(exact[i]))
+        return F.when(below == above, below).otherwise(between)
+
+    quartiles = found.crossJoin(bounds).select(
+        quartile(0).alias("q1"), quartile(1).alias("median"), quartile(2).alias("q3"), "low", "high"
+    )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.select(F.struct((F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")).alias("f"))
     placed = per_value.withColumn("f", fences.scalar())
@@ -64,7 +79,7 @@ def boxplot(df: DataFrame, value: str) -> DataFrame:
     whiskers = placed.agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("n")).otherwise(0)).cast("bigint").alias("outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).cast("bigint").alias("outliers"),
     )
     box = quartiles.select(F.struct("q1", "median", "q3", "low", "high").alias("b"))
     return whiskers.withColumn("b", box.scalar()).select(
