@@ -628,6 +628,35 @@ def daily_conversation_metrics(t):
     return daily.conversation_metrics(t.conversation_like(), t.conversation(), settings)
 
 
+def daily_tables(
+    t: SocialTables, video_settings: daily.DailySettings, like_settings: daily.DailySettings
+) -> DataFrame:
+    """A daily run over snapshots that lack the newest rows; the two published tables."""
+    root, delta, out = (scratch_folder(t.spark, name) for name in ("daily", "daily-delta", "daily-metrics"))
+    paths = {"video": f"{out}/video", "conversation": f"{out}/conversation"}
+    daily.first_snapshots(t.source, daily.VIDEO_TABLES, root, video_settings.start)
+    daily.first_snapshots(t.source, daily.CONVERSATION_TABLES, root, like_settings.start)
+
+    def stored(table: str) -> DataFrame:
+        return t.spark.read.parquet(tables.snapshot_path(root, table))
+
+    def video_tables() -> video.VideoTables:
+        return video.VideoTables(*[stored(n) for n in ("user", "user_interest", "video", "season", "vote")], t.post_feed())
+
+    daily.run_daily(
+        t.spark, video_tables, lambda: stored("conversation_like"), t.conversation, video_settings,
+        paths["video"], paths["conversation"], t.source, root, delta, like_settings,
+    )
+    return daily.published(t.spark, paths)
+
+
+@_query
+def daily_run(t):
+    """A whole daily run: extracts into the snapshots, all models evaluated, both metric tables published."""
+    likes = daily.DailySettings(as_of="2024-01-30", history_days=5)
+    return daily_tables(t, daily.DailySettings(as_of="2001-11-01"), likes)
+
+
 # Metrics on given scores and lists
 
 

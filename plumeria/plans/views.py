@@ -83,6 +83,20 @@ class SocialTables:
             .select("user_id", "name", "updated_at")
         )
 
+    def source(self, table: str) -> DataFrame:
+        """A table with the id and the time column by which extracts find new rows."""
+        opened = F.lit("1992-01-01").cast("date")
+        if table == "user":
+            first_order = self.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("updated_at"))
+            return self.app_user().join(first_order, "id", "left").withColumn("updated_at", F.coalesce("updated_at", opened))
+        if table == "user_interest":
+            return self.user_interest().withColumn("id", F.xxhash64("user_id", "name"))
+        if table == "season":
+            return self.season().withColumn("created_at", opened)
+        if table == "vote":
+            return self.vote().withColumn("id", F.xxhash64("id", "video_id", "voter_id", "status", "created_at"))
+        return {"video": self.video, "conversation_like": self.conversation_like}[table]()
+
     def post_feed(self) -> DataFrame:
         return self._order_lines().select(
             F.col("o_custkey").alias("user_id"),
