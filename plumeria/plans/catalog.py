@@ -652,7 +652,11 @@ def daily_tables(
 
 @_query
 def daily_run(t):
-    """A whole daily run: extracts into the snapshots, all models evaluated, both metric tables published."""
+    """A whole daily run: extracts into the snapshots, all models evaluated, both metric tables published.
+
+    A model publishes the days that it has rows to evaluate on. The neural one has none here: it is
+    evaluated on interests updated after the split, and the given ones end before it.
+    """
     likes = daily.DailySettings(as_of="2024-01-30", history_days=5)
     return daily_tables(t, daily.DailySettings(as_of="2001-11-01"), likes)
 
