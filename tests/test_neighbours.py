@@ -1,5 +1,7 @@
 """Nearest items against dense arithmetic, and what the bounds spare."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from plumeria.operators import neighbours as nb
 from plumeria.operators.blocks import norm_blocks
 from plumeria.operators.products import unit_columns
+from plumeria.plans import catalog
 
 
 def entries(seed, n_users=40, n_items=30):
@@ -85,3 +88,12 @@ def test_bounds_spare_most_blocks(spark):
     needed = nb.needed_blocks(placed, found.drop("rank"), 5).count()
     assert blocks > 15 and needed < 0.4 * blocks * blocks
     assert listed(found) == brute(sorted(pairs), 5)
+
+
+def test_item_item_cosine_has_every_pair(spark, tmp_path):
+    rows = [(u * 30 + i, "2024-01-05 10:00:00", u, "click", 1.0, json.dumps({"k": i})) for u in range(2) for i in range(30)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.queries()["item_item_cosine"](spark, str(tmp_path)).collect()
+    assert {(r["row"], r["col"]) for r in found} == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    assert {r["value"] for r in found} == {1.0}
